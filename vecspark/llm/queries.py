@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import mixing, oracle, quality, sharding
+from vecspark.llm import bpe, mixing, oracle, quality, sharding, token_files
 from vecspark.llm.common import read_documents
 
 
+def word_bpe() -> str:
+    """The installed word-level BPE file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokens_written(read_documents(spark, sf_dir), word_bpe())
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read_documents(spark, sf_dir).select("doc_id", "text"), word_bpe()).select("doc_id", "ids")
+    return bpe.decode(encoded, word_bpe()).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_documents(spark, sf_dir))
 
@@ -27,6 +48,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op7_source_mixing, op9_sharding)
+    f.__name__: f for f in (op1_token_files, op4_bpe_round_trip, op5_quality_rules, op7_source_mixing, op9_sharding)
 }
 ORACLES: dict[str, str] = oracle.SQL
