@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, mixing, oracle, quality, sharding, token_files
+from vecspark.llm import bpe, mixing, oracle, quality, sharding, simhash, token_files
 from vecspark.llm.common import read_documents
 
 
@@ -47,7 +47,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op4_bpe_round_trip, op5_quality_rules, op7_source_mixing, op9_sharding)
+    f.__name__: f for f in (op1_token_files, op4_bpe_round_trip, op5_quality_rules, op7_source_mixing, op9_sharding, op10_simhash)
 }
 ORACLES: dict[str, str] = oracle.SQL
