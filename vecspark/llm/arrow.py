@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-#: Rows handled at once inside a worker.
+#: Rows handled at once inside a worker, and sent to it at once: long texts and id arrays make wide rows.
 SLICE = 256
+BATCH_ROWS = 1024
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Added = Callable[[pa.RecordBatch], list[pa.Array]]
 
@@ -20,11 +23,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
-def add_columns(df: DataFrame, fields: list[StructField], make: Callable[[], Added]) -> DataFrame:
-    """`df` with `fields` computed by the function that `make` builds once per task; equal names are replaced."""
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batch to BATCH_ROWS rows."""
+    if not 0 < int(df.sparkSession.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
+def add_columns(df: DataFrame, fields: list[StructField], make: Callable[[], Added], keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with `fields` computed by the function that `make` builds once per task.
+
+    Columns named like a field are replaced.
+    """
+    small_batches(df)
     names = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in names]
-    places = [i for i, f in enumerate(df.schema.fields) if f.name not in names]
+    places = [i for i, f in enumerate(df.schema.fields) if f.name not in names and (keep is None or f.name in keep)]
+    kept = [df.schema.fields[i] for i in places]
     out = [f.name for f in kept] + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,3 +51,14 @@ def add_columns(df: DataFrame, fields: list[StructField], make: Callable[[], Add
 def texts(column: pa.Array) -> list[str]:
     """Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def id_lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """One list of int32 for each pair of neighbouring offsets."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def id_slices(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an int32 list column as views; null as the empty list."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]

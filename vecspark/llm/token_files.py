@@ -6,10 +6,10 @@ of their part number, hold the ids in ascending order. ORC stores integer
 arrays run-length encoded in stripes; readers take stripes in parallel and
 skip those whose row index or Bloom filter excludes a document id.
 
-The library is called for distinct pieces only: for a tokenizer whose
-pre-tokenizer never crosses white space (`by_piece=True`) a text's ids are
-its pieces' ids one after the other, so each worker remembers up to a
-bounded number of pieces. Otherwise whole texts are encoded.
+The library is called for distinct pieces only: for a tokenizer that folds
+case and whose pre-tokenizer cuts at white space and around words
+(`by_piece=True`), each worker remembers pieces up to a bound (see
+pieces.py). With `by_piece=False` whole texts are encoded.
 
 Defined results: a null or blank text has the end id alone; a null document
 id sorts first; rows with the same id stand together in order of their text's
@@ -20,9 +20,9 @@ not written.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import zlib
-from itertools import chain
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vecspark.llm.arrow import add_columns, texts
-from vecspark.llm.bpe import WHITE
+from vecspark.llm.arrow import add_columns, id_lists, id_slices, texts
 from vecspark.llm.common import new_path, written
+from vecspark.llm.pieces import PieceTable
 
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-#: Pieces remembered per worker, and encoded by the library in one call.
-REMEMBERED = 400_000
+
+#: Words that the library encodes as one text.
+JOINED = 256
 
 _LOADED: dict = {}
 
@@ -50,28 +51,45 @@ class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, special tokens not added."""
 
     def __init__(self, content: bytes, by_piece: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_piece = by_piece
-        self.pieces = re.compile(f"[^{WHITE}]+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.table = PieceTable(self.library) if by_piece else None
+
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
 
-    def _library(self, items: list[str]) -> list[list[int]]:
+    def _each(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def encode(self, items: list[str]) -> list[list[int]]:
-        if not self.by_piece:
-            return self._library(items)
-        cut = [self.pieces.findall(x) for x in items]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces}.difference(known))
-        known.update(zip(new, map(tuple, self._library(new)), strict=True))
-        return [[*chain.from_iterable(map(known.__getitem__, pieces))] for pieces in cut]
+    def library(self, items: list[str]) -> Sequence[Sequence[int]]:
+        """Ids of each item. Words go to the library many at once; word ends tell their ids apart."""
+        if not self.ends.any():
+            return self._each(items)
+        found: dict[str, Sequence[int]] = {}
+        words = [x for x in items if x.isalpha()]
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            (ids,) = self._each([" ".join(some)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):  # else a letter's small form is two pre-tokens
+                bounds = [0, *(last + 1).tolist()]
+                found.update((w, ids[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+        rest = [x for x in items if x not in found]
+        found.update(zip(rest, self._each(rest), strict=True))
+        return [*map(found.__getitem__, items)]
+
+    def encode(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the offsets of each text's."""
+        if self.table:
+            return self.table.encode(items)
+        found = self._each(items)
+        return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
 
 
 def _encoder(content: bytes, digest: str, by_piece: bool) -> LibraryEncoder:
@@ -86,11 +104,18 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_i
     digest = hashlib.sha256(content).hexdigest()
     shipped = df.sparkSession.sparkContext.broadcast(content)
     place = df.columns.index(text)
-    tail = [] if end_id is None else [end_id]
 
     def make():
         encoder = _encoder(shipped.value, digest, by_piece)
-        return lambda part: [pa.array([x + tail for x in encoder.encode(texts(part.column(place)))], pa.list_(pa.int32()))]
+
+        def added(part: pa.RecordBatch) -> list[pa.Array]:
+            found, offsets = encoder.encode(texts(part.column(place)))
+            if end_id is not None:
+                found = np.insert(found, offsets[1:], end_id)
+                offsets = offsets + np.arange(len(offsets))
+            return [id_lists(found, offsets)]
+
+        return added
 
     return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
@@ -119,10 +144,8 @@ def read_orc(spark: SparkSession, folder: str, id_col: str = "doc_id", ids_wante
     return df if ids_wanted is None else df.where(F.col(id_col).isin(ids_wanted))
 
 
-def _ids_crc32(column: pa.Array) -> pa.Array:
-    values = column.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-    offsets = column.offsets.to_numpy()
-    return pa.array([zlib.crc32(np.ascontiguousarray(values[a:b])) for a, b in zip(offsets, offsets[1:], strict=False)], pa.int64())
+def _ids_crc32(column: pa.ListArray) -> pa.Array:
+    return pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in id_slices(column)], pa.int64())
 
 
 def layout(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -131,9 +154,10 @@ def layout(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Starts are summed within parts, each a task's worth of documents, and
     over the parts' totals; only narrow rows move.
     """
+    stored = stored.withColumn("n_tokens", F.size("ids").cast("bigint"))
     place = stored.columns.index("ids")
-    summed = add_columns(stored, [T.StructField("ids_crc32", T.LongType())], lambda: lambda part: [_ids_crc32(part.column(place))])
-    rows = written(summed.select(id_col, "part", F.size("ids").cast("bigint").alias("n_tokens"), "ids_crc32"), "layout")
+    summed = add_columns(stored, [T.StructField("ids_crc32", T.LongType())], lambda: lambda part: [_ids_crc32(part.column(place))], [id_col, "part", "n_tokens"])
+    rows = written(summed, "layout")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
