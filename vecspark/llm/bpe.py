@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding of whole texts, equal to the tokenizers library's for the same file.
 
-A text is cut at white space; each distinct piece is normalised, cut into
-pre-tokens and merged once per worker and then remembered, up to a bounded
-number of pieces. A short pre-token is merged in a contiguous rank array:
+A text is cut at white space and around words (see pieces.py); each distinct
+piece is normalised, cut into pre-tokens and merged once per worker and then
+remembered, up to a bound. A short pre-token is merged in a contiguous rank array:
 part boundaries and the ranks of adjacent pairs stand in two lists, the
 least rank is found by scanning, one boundary is deleted and the two
 neighbouring ranks are refreshed. Long pre-tokens, where scanning would be
@@ -24,20 +24,18 @@ import unicodedata
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow import add_columns, texts
+from vecspark.llm.arrow import add_columns, id_lists, id_slices, texts
+from vecspark.llm.pieces import PieceTable
 
-#: Unicode White_Space, which the file's normaliser folds to one blank.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens longer than this are merged with a heap.
 SHORT = 96
-#: Pieces remembered per worker; beyond that the memory starts anew.
-REMEMBERED = 400_000
 
 
 def byte_letters() -> str:
@@ -65,10 +63,8 @@ class Vocabulary:
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pre_token = regex.compile(pattern)
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces = re.compile(f"[^{WHITE}]+")
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, list[int]] = {}
-        self.merged: dict[str, list[int]] = {}
+        self.table = PieceTable(lambda pieces: [*map(self.piece, pieces)])
 
     def parts(self, letters: str) -> list[str]:
         """The final parts of one pre-token, whose last letter carries the word end."""
@@ -112,13 +108,8 @@ class Vocabulary:
         return [p for p in parts if p is not None]
 
     def _word(self, word: str) -> list[int]:
-        if (found := self.merged.get(word)) is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            found = [self.ids[p] for p in self.parts(letters) if p in self.ids]
-            if len(self.merged) >= REMEMBERED:
-                self.merged.clear()
-            self.merged[word] = found
-        return found
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return [self.ids[p] for p in self.parts(letters) if p in self.ids]
 
     def _plain(self, piece: str) -> list[int]:
         folded = unicodedata.normalize("NFC", piece)
@@ -137,16 +128,11 @@ class Vocabulary:
             ids = []
             for part in self.is_special.split(piece):
                 ids += [self.special[part]] if part in self.special else self._plain(part)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(piece) <= 64:
-            self.known[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        known, new = self.known.get, self.piece
-        found = [known(p) or new(p) for p in self.pieces.findall(text)]
-        return [*chain.from_iterable(found)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the offsets of each text's."""
+        return self.table.encode(texts)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
@@ -167,25 +153,25 @@ def loaded(digest: str, content: Broadcast) -> Vocabulary:
     return _LOADED[digest]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds `ids`, an array of int, to every row."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Adds `ids`, an array of int, to every row of `df` or its columns `keep`."""
     digest, content = ship(df.sparkSession, path)
     place = df.columns.index(text)
 
     def make():
         vocabulary = loaded(digest, content)
-        return lambda part: [pa.array([vocabulary.encode(x) for x in texts(part.column(place))], pa.list_(pa.int32()))]
+        return lambda part: [id_lists(*vocabulary.encode(texts(part.column(place))))]
 
-    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, keep)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds `text`, what the ids stand for, special tokens included."""
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Adds `text`, what the ids stand for, special tokens included, to `df` or its columns `keep`."""
     digest, content = ship(df.sparkSession, path)
     place = df.columns.index(ids)
 
     def make():
         vocabulary = loaded(digest, content)
-        return lambda part: [pa.array([vocabulary.decode(x or []) for x in part.column(place).to_pylist()], pa.string())]
+        return lambda part: [pa.array([vocabulary.decode(x.tolist()) for x in id_slices(part.column(place))], pa.string())]
 
-    return add_columns(df, [T.StructField(text, T.StringType())], make)
+    return add_columns(df, [T.StructField(text, T.StringType())], make, keep)
