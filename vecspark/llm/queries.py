@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, langid, lsh_forest, mixing, oracle, quality, sharding, simhash, token_files, trie_counts
+from vecspark.llm import bpe, langid, lsh_forest, mixing, oracle, quality, sharding, simhash, suffix_dedup, token_files, trie_counts
 from vecspark.llm.common import read_documents
 
 
@@ -29,6 +29,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_written(read_documents(spark, sf_dir), word_bpe())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read_documents(spark, sf_dir))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files,
+        op2_suffix_dedup,
         op3_nearest_neighbours,
         op4_bpe_round_trip,
         op5_quality_rules,
