@@ -37,8 +37,9 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(read_documents(spark, sf_dir).select("doc_id", "text"), word_bpe(), keep=["doc_id"])
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    encoded = bpe.encode(docs.select("doc_id", "text"), word_bpe(), keep=["doc_id"])
     return bpe.decode(encoded, word_bpe()).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -47,6 +48,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_documents(spark, sf_dir))
 
