@@ -30,7 +30,7 @@ from vecspark.operators.codebook import Codebook
 from vecspark.config import CodecConfig
 
 INDEX = "_files.json"
-#: Rows or records in a task.
+#: Rows or records in a task, unless the option rows_per_task says otherwise.
 ROWS_PER_TASK = 65_536
 #: Fixed values of the codebook file.
 CODEBOOK_MAGIC = b"TQCB"
@@ -110,10 +110,10 @@ class _MatrixReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        parts, before = [], 0
+        parts, before, step = [], 0, int(self.options.get("rows_per_task", ROWS_PER_TASK))
         for path in _files(self.options["path"]):
             rows = _shape(path, self.options)[0]
-            parts += [_Range(path, i, min(rows, i + ROWS_PER_TASK), before) for i in range(0, rows, ROWS_PER_TASK)]
+            parts += [_Range(path, i, min(rows, i + step), before) for i in range(0, rows, step)]
             before += rows
         return parts or [_Range("", 0, 0)]
 
@@ -166,13 +166,13 @@ class _CorpusReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Ranges of records; only their lengths are read here."""
-        parts, before = [], 0
+        parts, before, step = [], 0, int(self.options.get("rows_per_task", ROWS_PER_TASK))
         for path in _files(self.options["path"]):
             with open(path, "rb") as file:
                 header, at = wire.read_header(file.read(wire.MAX_METADATA + 4096))
                 for n in range(header.count):
-                    if n % ROWS_PER_TASK == 0:
-                        parts.append(_Range(path, before + n, before + min(header.count, n + ROWS_PER_TASK), at))
+                    if n % step == 0:
+                        parts.append(_Range(path, before + n, before + min(header.count, n + step), at))
                     file.seek(at)
                     prefix = file.read(4)
                     if len(prefix) < 4:
