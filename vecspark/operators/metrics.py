@@ -52,3 +52,10 @@ def payload_bytes(dimension: int, bit_width: int, residual: bool) -> int:
 
 def compression_ratio(dimension: int, bit_width: int, residual: bool) -> float:
     return 4.0 * dimension / payload_bytes(dimension, bit_width, residual)
+
+
+def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Median, 95th percentile and mean of timings by `keys`."""
+    at = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95)))
+    summed = df.groupBy(*keys).agg(at.alias("_p"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return summed.select(*keys, "n", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p95"), "mean")

@@ -408,6 +408,48 @@ def quality_report(spark, d):
     return baselines.quality_report(embeddings(spark, d), DIMENSION, K, SEED, STRIDE)
 
 
+@query(
+    "latency_percentiles",
+    f"""SELECT event_type, count(*) AS n, {twins.rounded('quantile_cont(value, 0.5)')} AS median, {twins.rounded('quantile_cont(value, 0.95)')} AS p95
+    FROM events WHERE value IS NOT NULL GROUP BY event_type""",
+)
+def latency_percentiles(spark, d):
+    timings = spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL")
+    found = metrics.latency_summary(timings, "value", "event_type")
+    return found.select("event_type", "n", rounded(F.col("median")).alias("median"), rounded(F.col("p95")).alias("p95"))
+
+
+for _policy in ("passthrough", "fp16"):
+    _kept = "x" if _policy == "passthrough" else f"({twins.half('x::DOUBLE')})::FLOAT"
+
+    @query(f"policy_{_policy}", f"WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: {_kept}) AS h FROM embeddings) {twins.exploded('h', 'h')}")
+    def policy(spark, d, policy=_policy):
+        rows = embeddings(spark, d).select("vec_id", "embedding")
+        own = codec(rows, 4, False)
+        back = decompress(compress(rows, own, policy=policy).select("vec_id", "compressed"), own, policy=policy)
+        return exploded(back, F.col("vector"))
+
+
+@query(
+    "strided_pairs",
+    f"""SELECT a.vec_id AS a, b.vec_id AS b, {twins.rounded(twins.cosine('a.embedding', 'b.embedding'))} AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % {STRIDE} = 0 AND b.vec_id % {STRIDE} = 0""",
+)
+def strided_pairs(spark, d):
+    rows = embeddings(spark, d).withColumn("vector", F.col("embedding"))
+    return metrics.pair_scores(rows, stride=STRIDE).select("a", "b", rounded(F.col("original")).alias("score"))
+
+
+@query("finite_check", "SELECT vec_id, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS finite FROM embeddings")
+def finite_check(spark, d):
+    return embeddings(spark, d).select("vec_id", exprs.finite(F.col("embedding")).alias("finite"))
+
+
+@query("point_lookup", f"SELECT vec_id, label, {twins.rounded('embedding[1]::DOUBLE')} AS first FROM embeddings WHERE vec_id = 7")
+def point_lookup(spark, d):
+    return embeddings(spark, d).where("vec_id = 7").select("vec_id", "label", rounded(F.col("embedding")[0]).alias("first"))
+
+
 # Corpus changes
 
 _OLD = "SELECT vec_id, label, vec_id AS insert_seq FROM embeddings WHERE vec_id < 300"
