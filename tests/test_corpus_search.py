@@ -124,14 +124,22 @@ def test_single_query_plan_keeps_k_rows_per_task(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plan
 
 
-def test_many_queries_in_blocks_equal_one_block(spark, sf_dir, monkeypatch):
+def test_many_queries_over_shards_equal_a_broadcast(spark, sf_dir, monkeypatch):
     from vecspark.operators import search
 
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = rows.where("vec_id % 50 = 0")
-    whole = sorted(map(tuple, top_k_many(rows, asked, 5).collect()))
-    monkeypatch.setattr(search, "QUERY_BYTES", 2000)
-    assert [(a, b, c) for a, b, c, _ in whole] == [(a, b, c) for a, b, c, _ in sorted(map(tuple, top_k_many(rows, asked, 5).collect()))]
+    key = lambda df: sorted((a, b, c, round(s, 12)) for a, b, c, s in df.collect())
+    for exclude_self in (False, True):
+        monkeypatch.setattr(search, "QUERY_BYTES", 32 << 20)
+        whole = key(top_k_many(rows, asked, 5, exclude_self=exclude_self))
+        assert len(whole) == 50
+        monkeypatch.setattr(search, "QUERY_BYTES", 2000)
+        monkeypatch.setattr(search, "SHARD_BYTES", 40_000)
+        assert whole == key(top_k_many(rows, asked, 5, exclude_self=exclude_self))
+    assert top_k_many(rows, asked.where("false"), 5).count() == 0
+    with pytest.raises(errors.DimensionMismatch):
+        top_k_many(rows, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>"), 5)
 
 
 def test_index_upserts_and_removes(spark):

@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 from vecspark.errors import DimensionMismatch, InvalidTopK
 from vecspark.functions import exprs
 
-#: Bytes of query vectors that are broadcast at once; more queries are searched block by block.
+#: Bytes of query vectors that are broadcast at most.
 QUERY_BYTES = 32 << 20
+#: Bytes of vectors in a shard that more queries than that are dealt to.
+SHARD_BYTES = 64 << 20
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -30,28 +32,84 @@ def top_k(df: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id",
     return df.select(id_col, score.alias("score")).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
-def _block_scores(k: int, exclude_self: bool, queries, ids: list):
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay."""
+    scale = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(scale > 0, scale, 1.0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class _Best:
+    """The k best (score, id) of each query so far; ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool) -> None:
+        self.ids, self.units, self.k, self.exclude_self = ids, units, k, exclude_self
+        self.found = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
+
+    def add(self, names: np.ndarray, units: np.ndarray) -> None:
+        if units.shape[1] != self.units.shape[1]:
+            raise DimensionMismatch(f"{self.units.shape[1]} expected, got {units.shape[1]}")
+        scores = np.nan_to_num(self.units @ units.T, nan=0.0)
+        for q, own in enumerate(self.ids):
+            s, i = scores[q], names
+            if self.exclude_self:
+                s, i = s[names != own], names[names != own]
+            if len(s) > self.k:
+                at = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
+                s, i = s[at], i[at]
+            s, i = np.concatenate([self.found[q][0], s]), np.concatenate([self.found[q][1], i])
+            order = np.lexsort((i, -s))[: self.k]
+            self.found[q] = s[order], i[order]
+
+    def rows(self) -> pa.RecordBatch:
+        counts = [len(s) for s, _ in self.found]
+        scores = np.concatenate([s for s, _ in self.found]) if counts else np.empty(0)
+        names = np.concatenate([i for _, i in self.found]) if counts else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, counts)), pa.array(names.astype(np.int64)), pa.array(scores)], names=["query_id", "vec_id", "score"]
+        )
+
+
+def _against_broadcast(k: int, exclude_self: bool, shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*shipped.value, k, exclude_self)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(batch.column(0).to_numpy(), _unit(_matrix(batch.column(1))))
+        yield best.rows()
+
+    return run
+
+
+def _within_shards(k: int, exclude_self: bool):
+    """Rows (shard, is_query, id, vector), a shard's vectors before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = queries.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
-        own = np.array(ids)
+        shard: int | None = None
+        names: list[np.ndarray] = []
+        units: list[np.ndarray] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            scale = np.linalg.norm(rows, axis=1)
-            scores = np.nan_to_num((asked @ rows.T) / np.where(scale > 0, scale, 1.0), nan=0.0)
-            for q in range(len(ids)):
-                keep = names != own[q] if exclude_self else slice(None)
-                s, i = np.concatenate([best[q][0], scores[q][keep]]), np.concatenate([best[q][1], names[keep]])
-                order = np.lexsort((i, -s))[:k]
-                best[q] = (s[order], i[order])
-        for q, (s, i) in enumerate(best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[q]] * len(s), pa.int64()), pa.array(i.astype(np.int64)), pa.array(s)], names=["query_id", "vec_id", "score"]
-                )
+            shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
+            bounds = [0, *cuts.tolist(), len(shards)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                own, matrix = part.column(2).to_numpy(), _unit(_matrix(part.column(3)))
+                if shards[a] != shard:
+                    shard, names, units = shards[a], [], []
+                if not asks[a]:
+                    names.append(own)
+                    units.append(matrix)
+                elif names:
+                    best = _Best(own, matrix, k, exclude_self)
+                    for stored, vectors in zip(names, units, strict=True):
+                        best.add(stored, vectors)
+                    yield best.rows()
 
     return run
 
@@ -61,33 +119,33 @@ def top_k_many(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for a stated set of queries (id, vector) against all rows.
 
-    A task multiplies its rows with a block of queries and keeps `k` rows
-    per query; only those are shuffled. Blocks are bounded in bytes.
+    Up to QUERY_BYTES of queries are broadcast, and every task multiplies its
+    rows with all of them. More queries are dealt to shards of the rows, of at
+    most SHARD_BYTES each. Either way only k rows per query and task are
+    shuffled, and nothing larger than the broadcast meets the driver.
     """
     if k < 1:
         raise InvalidTopK(f"k must be at least 1, not {k}")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    found: DataFrame | None = None
-    block: list[tuple[int, list[float]]] = []
-
-    def search(part: list[tuple[int, list[float]]]) -> DataFrame:
-        matrix = np.array([v for _, v in part], np.float64)
-        scale = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shipped = df.sparkSession.sparkContext.broadcast(matrix / np.where(scale > 0, scale, 1.0))
-        kinds = "query_id long, vec_id long, score double"
-        return rows.mapInArrow(_block_scores(k, exclude_self, shipped, [i for i, _ in part]), kinds)
-
-    for row in asked.toLocalIterator():
-        if block and len(row["v"]) != len(block[0][1]):
-            raise DimensionMismatch(f"{len(block[0][1])} expected, got {len(row['v'])}")
-        block.append((row["q"], row["v"]))
-        if len(block) * len(row["v"]) * 8 >= QUERY_BYTES:
-            found = search(block) if found is None else found.unionAll(search(block))
-            block = []
-    if block or found is None:
-        last = search(block) if block else df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        found = last if found is None else found.unionAll(last)
+    spark = df.sparkSession
+    named = [F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    rows, asked = (x.select(*named).where("v IS NOT NULL") for x in (df, queries))
+    widths = asked.groupBy(F.size("v").alias("width")).count().take(2)
+    if len(widths) > 1:
+        raise DimensionMismatch("queries have several lengths")
+    if not widths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n, width = widths[0]["count"], widths[0]["width"]
+    kinds = "query_id long, vec_id long, score double"
+    if n * width * 8 <= QUERY_BYTES:
+        held = asked.collect()
+        ids, matrix = np.array([r["id"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64).reshape(n, width)
+        found = rows.mapInArrow(_against_broadcast(k, exclude_self, spark.sparkContext.broadcast((ids, _unit(matrix)))), kinds)
+    else:
+        shards = max(1, -(-rows.count() * width * 8 // SHARD_BYTES))
+        stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+        everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+        dealt = stored.unionAll(everywhere).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+        found = dealt.mapInArrow(_within_shards(k, exclude_self), kinds)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
