@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +17,27 @@ SLICE = 256
 BATCH_ROWS = 1024
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+_KEPT: list[tuple[object, object]] = []
+
+
+def forget() -> None:
+    """Drops what the worker keeps and hands freed memory back, for workers live on from operator to operator."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def kept_once(key: object, build: Callable[[], object]) -> object:
+    """What `build` makes for `key`, kept by the worker for its next tasks until another operator runs."""
+    if not _KEPT or _KEPT[0][0] != key:
+        forget()
+        _KEPT.append((key, build()))
+    return _KEPT[0][1]
+
+
 Added = Callable[[pa.RecordBatch], list[pa.Array]]
 
 

@@ -31,11 +31,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow import add_columns, id_lists, id_slices, texts
+from vecspark.llm.arrow import add_columns, id_lists, id_slices, kept_once, texts
 from vecspark.llm.pieces import PieceTable
 
 #: Pre-tokens longer than this are merged with a heap.
 SHORT = 96
+#: Words remembered per worker; of pieces with their punctuation, half as many.
+REMEMBERED = 500_000
 
 
 def byte_letters() -> str:
@@ -64,7 +66,7 @@ class Vocabulary:
         self.pre_token = regex.compile(pattern)
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = dict(enumerate(byte_letters()))
-        self.table = PieceTable(lambda pieces: [*map(self.piece, pieces)])
+        self.table = PieceTable(lambda pieces: [*map(self.piece, pieces)], REMEMBERED // 2, REMEMBERED)
 
     def parts(self, letters: str) -> list[str]:
         """The final parts of one pre-token, whose last letter carries the word end."""
@@ -138,9 +140,6 @@ class Vocabulary:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def ship(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
     """The tokenizer file (a few MB) for the executors, with its digest."""
     content = Path(path).read_bytes()
@@ -148,9 +147,7 @@ def ship(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
 
 
 def loaded(digest: str, content: Broadcast) -> Vocabulary:
-    if digest not in _LOADED:
-        _LOADED[digest] = Vocabulary(content.value)
-    return _LOADED[digest]
+    return kept_once(("bpe", digest), lambda: Vocabulary(content.value))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -28,13 +28,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that operators wrote for themselves in this process.
+_SCRATCH: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a Parquet table in the shared folder: lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *needed: DataFrame) -> None:
+    """Deletes the operators' written tables that none of `needed` reads, and lets finished shuffles go.
+
+    For callers that have stored the results of what they ran before.
+    """
+    read = {f for df in needed for f in df.inputFiles()}
+    name = lambda path: path.rsplit("/", 1)[-1]
+    used = {part for f in read for part in f.split("/")}
+    for path in [p for p in _SCRATCH if name(p) not in used]:
+        remove(spark, path)
+        _SCRATCH.remove(path)
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, which it does when the driver's garbage is collected."""
     gc.collect()

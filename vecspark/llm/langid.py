@@ -27,13 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vecspark.llm.arrow import add_columns, texts
+from vecspark.llm.arrow import add_columns, kept_once, texts
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 2000
@@ -42,18 +41,19 @@ LONGEST = 4
 SMOOTHING = 0.5
 EVIDENCE = 20
 #: Pieces of text remembered per worker.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language, in order of `languages`."""
+    """Log frequencies by language, in order of `languages`: a row of the table for each word or n-gram."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -61,29 +61,30 @@ def grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def _frequencies(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    table = np.stack(list(counts.values())) + SMOOTHING
-    return dict(zip(counts, np.log(table / table.sum(axis=0)), strict=True))
-
-
 def build_model(counts: list[tuple[str, str, int]]) -> Model:
     """From (language, word, count)."""
     languages = sorted({lang for lang, _, _ in counts})
     place = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    parts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST)]
+    words: dict[str, int] = {}
+    for _, word, _ in counts:
+        words.setdefault(word, len(words))
+    of_words = np.zeros((len(words), len(languages)))
     for lang, word, n in counts:
-        words.setdefault(word, np.zeros(len(languages)))[place[lang]] += n
-    for word, by_language in words.items():
-        for size, known in enumerate(parts, 1):
-            for gram in grams(word, size):
-                if gram in known:
-                    known[gram] += by_language
-                else:
-                    known[gram] = by_language.copy()
-    return Model(languages, _frequencies(words), {g: f for known in parts for g, f in _frequencies(known).items()})
+        of_words[words[word], place[lang]] += n
+    known: dict[str, int] = {}
+    tables = [of_words]
+    for size in range(1, LONGEST + 1):
+        first, pairs = len(known), []
+        for word, row in words.items():
+            pairs += [(known.setdefault(gram, len(known)) - first, row) for gram in grams(word, size)]
+        part = np.zeros((len(known) - first, len(languages)))
+        if pairs:
+            at, rows = np.array(pairs).T
+            np.add.at(part, at, of_words[rows])
+        tables.append(part)
+    logs = [np.log((t + SMOOTHING) / (t + SMOOTHING).sum(axis=0)) for t in tables if len(t)]
+    table = np.concatenate(logs) if logs else np.zeros((0, len(languages)))
+    return Model(languages, words, {gram: i + len(words) for gram, i in known.items()}, table)
 
 
 class Scorer:
@@ -94,11 +95,12 @@ class Scorer:
         self.sums = np.zeros((1 << 12, len(model.languages) + 1))
 
     def word(self, word: str) -> np.ndarray | None:
-        if (found := self.model.words.get(word)) is not None:
-            return found
+        model = self.model
+        if (row := model.words.get(word)) is not None:
+            return model.table[row]
         for n in range(LONGEST, 0, -1):
-            if known := [f for g in grams(word, n) if (f := self.model.grams.get(g)) is not None]:
-                return np.mean(known, axis=0)
+            if known := [row for g in grams(word, n) if (row := model.grams.get(g)) is not None]:
+                return model.table[known].mean(axis=0)
         return None
 
     def _learn(self, piece: str) -> int:
@@ -132,10 +134,11 @@ def training_counts(
 ) -> DataFrame:
     """(lang, word, n): the commonest words of the bounded sample of each language."""
     labelled = df.where(allowed & F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("_docs"))
+    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    shares = F.create_map(*[F.lit(x) for row in sizes for x in (row[label], docs / row["n"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = labelled.select(F.col(label).alias("lang"), F.col(text).alias("_text"), chance.alias("_chance")).join(sizes, "lang")
-    found = picked.where(F.col("_chance") * F.col("_docs") < docs).select(
+    picked = labelled.where(chance < F.try_element_at(shares, F.col(label)))
+    found = picked.select(F.col(label).alias("lang"), F.col(text).alias("_text")).select(
         "lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     )
     counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -149,24 +152,16 @@ def train(df: DataFrame, allowed: Column | None = None, **options) -> Model:
     return build_model([(r["lang"], r["word"], r["n"]) for r in counts.collect()])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model: Broadcast, key: int) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.value)
-    return _SCORERS[key]
-
-
-def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to `df` or its columns `keep`."""
+def identify(
+    df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the predicted language and the score to `df` or its columns `keep`."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    key = shipped._jbroadcast.id()
+    key = ("langid", shipped._jbroadcast.id())
     place = df.columns.index(text)
 
     def make():
-        scorer = _scorer(shipped, key)
+        scorer = kept_once(key, lambda: Scorer(shipped.value))
 
         def added(part: pa.RecordBatch) -> list[pa.Array]:
             found = [scorer.predict(x) for x in texts(part.column(place))]
@@ -174,7 +169,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
         return added
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]
     return add_columns(df, fields, make, keep)
 
 
@@ -186,5 +181,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def confident(df: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
     """The rows whose language is determined with a score of at least `least`, in the input's columns."""
-    found = identify(df.withColumn("_own", F.struct(*[F.col(f"`{c}`") for c in df.columns])), model, text, ["_own"])
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_own.*")
+    found = identify(df, model, text, out=("_lang_pred", "_lang_score"))
+    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).select(*df.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow import add_columns, texts
+from vecspark.llm.arrow import add_columns, forget, texts
 from vecspark.llm.common import written
 from vecspark.llm.components import components
 
@@ -80,7 +80,11 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fp") -> DataFra
         found = np.array([fingerprint(x) for x in texts(part.column(place))], np.uint64)
         return [pa.array(found.view(np.int64))]
 
-    return add_columns(df, [T.StructField(name, T.LongType())], lambda: added)
+    def make():
+        forget()
+        return added
+
+    return add_columns(df, [T.StructField(name, T.LongType())], make)
 
 
 def word_counts(fps: np.ndarray) -> np.ndarray:
@@ -234,7 +238,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows with the least id of each component, one per component, in the input's columns."""
-    rows = written(fingerprints(df, text, "_fp"), "simhash")
-    groups = fingerprint_groups(rows.select(id_col, F.col("_fp").alias("fp")), id_col, radius)
-    joined = rows.join(groups.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_least")), "_fp")
-    return joined.where(F.col(id_col).eqNullSafe(F.col("_least"))).dropDuplicates(["_root"]).select(*df.columns)
+    numbered = fingerprints(df, text, "_fp").withColumn("_row", F.monotonically_increasing_id())
+    rows = written(numbered, "simhash")  # which fixes the numbers
+    narrow = rows.select(F.col(id_col).alias("_id"), F.col("_fp").alias("fp"), "_row")
+    groups = fingerprint_groups(narrow, "_id", radius).select("fp", "root")
+    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row"))
+    kept = narrow.join(groups, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*df.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vecspark.llm.arrow import add_columns, id_lists, id_slices, texts
+from vecspark.llm.arrow import add_columns, id_lists, id_slices, kept_once, texts
 from vecspark.llm.common import new_path, written
 from vecspark.llm.pieces import PieceTable
 
@@ -44,8 +44,6 @@ BLOOM_FPP = 0.01
 #: Words that the library encodes as one text.
 JOINED = 256
 
-_LOADED: dict = {}
-
 
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, special tokens not added."""
@@ -92,12 +90,6 @@ class LibraryEncoder:
         return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
 
 
-def _encoder(content: bytes, digest: str, by_piece: bool) -> LibraryEncoder:
-    if (key := (digest, by_piece)) not in _LOADED:
-        _LOADED[key] = LibraryEncoder(content, by_piece)
-    return _LOADED[key]
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_id: int | None = END_ID, by_piece: bool = True) -> DataFrame:
     """Adds `ids`, the text's ids and the end id."""
     content = Path(path).read_bytes()
@@ -106,7 +98,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_i
     place = df.columns.index(text)
 
     def make():
-        encoder = _encoder(shipped.value, digest, by_piece)
+        encoder = kept_once(("library", digest, by_piece), lambda: LibraryEncoder(shipped.value, by_piece))
 
         def added(part: pa.RecordBatch) -> list[pa.Array]:
             found, offsets = encoder.encode(texts(part.column(place)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow import add_columns, texts
+from vecspark.llm.arrow import add_columns, kept_once, texts
 from vecspark.llm.common import WORDS
 
 MARK = "▁"
@@ -131,20 +131,14 @@ class Counts:
         return words.total(), sum(known[w] * n for w, n in words.items())
 
 
-_COUNTS: dict[int, Counts] = {}
-
-
 def token_counts(df: DataFrame, scores: dict[str, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words and n_tokens to `df` or its columns `keep`. The vocabulary is broadcast; its size is the tokenizer's."""
     shipped = df.sparkSession.sparkContext.broadcast(scores)
-    key = shipped._jbroadcast.id()
+    key = ("counts", shipped._jbroadcast.id())
     place = df.columns.index(text)
 
     def make():
-        if key not in _COUNTS:
-            _COUNTS.clear()
-            _COUNTS[key] = Counts(shipped.value)
-        counts = _COUNTS[key]
+        counts = kept_once(key, lambda: Counts(shipped.value))
 
         def added(part: pa.RecordBatch) -> list[pa.Array]:
             found = [counts.count(x) for x in texts(part.column(place))]
