@@ -172,6 +172,12 @@ def test_random_texts_of_few_letters(spark):
         assert sorted(map(tuple, suffix_dedup.removed(df, length=length).collect()), key=repr) == covered(rows, length)
 
 
+def test_routes_do_not_matter(documents):
+    key = lambda df: sorted((r["id"], r["class"], r["whole"], suffix_dedup.united([tuple(x) for x in r["spans"] or []])) for r in df.collect())
+    whole = key(suffix_dedup.covered_spans(documents))
+    assert len(whole) > 20 and whole == key(suffix_dedup.covered_spans(documents, hot=0)) == key(suffix_dedup.covered_spans(documents, hot=3))
+
+
 def test_cleaned_texts_keep_columns(odd, odd_rows):
     got = suffix_dedup.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == len(odd_rows)
