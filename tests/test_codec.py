@@ -11,7 +11,7 @@ from vecspark import errors
 from vecspark.config import CodecConfig
 from vecspark.functions import exprs
 from vecspark.operators import codec as c
-from vecspark.operators.codebook import Codebook, fractions, train, train_approximate
+from vecspark.operators.codebook import Codebook, fractions, train, train_approximate, train_rotated
 from vecspark.operators.rotation import is_orthogonal, rotation
 
 # Configuration hashes.
@@ -176,3 +176,23 @@ def test_scalar_expressions(spark):
     assert [r["f"] for r in got] == [True, True, True, False]
     coded = spark.createDataFrame([([0.0, 0.5, 1.0],)], "v array<float>").select(exprs.byte_levels(F.col("v")).alias("x")).first()["x"]
     assert coded["levels"] == [0, 128, 255]
+
+
+def test_damaged_records_are_set_aside(spark, vectors):
+    _, df = vectors
+    own = c.Codec(CodecConfig(4, 1, 16, True), train(df, 4))
+    coded = c.compress(df, own).select("vec_id", "compressed")
+    cut = F.struct(F.substring("compressed.indices", 1, 3).alias("indices"), *[F.col(f"compressed.{n}") for n in ("residual", "config_hash", "dimension", "bit_width")])
+    foreign = F.col("compressed").withField("config_hash", F.lit("other"))
+    bare = F.col("compressed").withField("residual", F.lit(None).cast("binary"))
+    damaged = F.when(F.col("vec_id") == 1, cut).when(F.col("vec_id") == 2, foreign).when(F.col("vec_id") == 3, bare).otherwise(F.col("compressed"))
+    good, bad = c.split_damaged(coded.withColumn("compressed", damaged), own.config)
+    assert {r["vec_id"]: r["error_class"] for r in bad.collect()} == {"1": "LengthMismatch", "2": "ConfigMismatch", "3": "LengthMismatch"}
+    assert c.decompress(good, own).count() == 297
+
+
+def test_training_on_rotated_vectors(vectors):
+    rows, df = vectors
+    turned = (rows.astype(np.float64) @ rotation(42, 16).T).astype(np.float32)
+    expected = np.quantile(turned.astype(np.float64), fractions(4)).astype(np.float32)
+    assert np.allclose(train_rotated(df, 4, 42).array, expected, atol=1e-6)

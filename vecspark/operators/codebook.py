@@ -105,6 +105,18 @@ def train(df: DataFrame, bit_width: int, vector: str = "embedding") -> Codebook:
     return from_quantiles(bit_width, low + (high - low) * (places - np.floor(places)))
 
 
+def train_rotated(df: DataFrame, bit_width: int, seed: int, vector: str = "embedding") -> Codebook:
+    """Exact quantiles of the turned coordinates, which are what is quantized; an extension, for `train` sees the original ones."""
+    from vecspark.functions.exprs import matrix_literal, rotate
+    from vecspark.operators.rotation import rotation
+
+    first = df.select(F.size(vector).alias("n")).first()
+    if first is None:
+        raise InsufficientTrainingData("no values")
+    turned = rotate(F.col(vector), matrix_literal(rotation(seed, first["n"])))
+    return train(df.select(turned.alias(vector)), bit_width, vector)
+
+
 def train_approximate(df: DataFrame, bit_width: int, vector: str = "embedding", accuracy: int = 100_000) -> Codebook:
     """Quantiles by a mergeable sketch in one pass; an extension for tables whose exact sort is too dear."""
     values = df.select(F.explode(vector).alias("v"))

@@ -195,6 +195,23 @@ def split_rejects(df: DataFrame, dimension: int, vector: str = "embedding", id_c
     return marked.where("_reason IS NULL").drop("_reason"), rejects
 
 
+def split_damaged(df: DataFrame, config: CodecConfig, compressed: str = "compressed", id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+    """Records that `config` can restore, and the others with the reason, so that one bad record does not block the rest."""
+    c = F.col(compressed)
+    residual = 2 * config.dimension if config.residual_enabled else None
+    right_residual = c["residual"].isNull() if residual is None else F.coalesce(F.length(c["residual"]) == residual, F.lit(False))
+    reason = (
+        F.when(c.isNull(), "LengthMismatch")
+        .when(~c["config_hash"].eqNullSafe(config.config_hash), "ConfigMismatch")
+        .when(~F.coalesce(F.length(c["indices"]) == config.dimension, F.lit(False)), "LengthMismatch")
+        .when(~right_residual, "LengthMismatch")
+    )
+    marked = df.withColumn("_reason", reason)
+    detail = F.concat(F.lit("indices and residual of "), F.coalesce(F.length(c["indices"]), F.lit(0)).cast("string"), F.lit(" and "), F.coalesce(F.length(c["residual"]), F.lit(0)).cast("string"), F.lit(" bytes"))
+    rejects = marked.where("_reason IS NOT NULL").select(F.col(id_col).cast("string").alias("vec_id"), F.col("_reason").alias("error_class"), detail.alias("detail"))
+    return marked.where("_reason IS NULL").drop("_reason"), rejects
+
+
 def round_trip(df: DataFrame, codec: Codec, vector: str = "embedding", out: str = "vector") -> DataFrame:
     """Compressed and restored in one pass, for quality measurements."""
     shipped = df.sparkSession.sparkContext.broadcast(codec)

@@ -24,6 +24,16 @@ ENTRIES = f"vec_id string, compressed {COMPRESSED}, declared_dimension int, inse
 EVENTS = "corpus_id string, type string, vector_ids array<string>, count long, violation_type string, detail string, timestamp_ns long"
 
 
+#: Ids that an event lists at most; of larger batches it has the count, and the entries have the ids.
+LISTED = 100_000
+
+
+def _listed(rows: DataFrame) -> tuple[int, tuple[str, ...]]:
+    """The number of rows (vec_id, insert_seq), and their ids in order if they are few enough."""
+    count = rows.count()
+    return count, tuple(r["vec_id"] for r in rows.orderBy("insert_seq").collect()) if count <= LISTED else ()
+
+
 @dataclass(frozen=True)
 class Event:
     """One entry of the log. `type` is created, inserted, decompressed or violation."""
@@ -124,8 +134,8 @@ class Corpus:
         return rows.select(F.col("vec_id").cast("string").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector"), "metadata", "ordinal")
 
     def _appended(self, rows: DataFrame) -> Corpus:
-        ids = tuple(r["vec_id"] for r in rows.select("vec_id", "ordinal").orderBy("ordinal").collect())  # the event lists them
-        if not ids:
+        count, ids = _listed(rows.select("vec_id", F.col("ordinal").alias("insert_seq")))
+        if not count:
             return self
         after = F.coalesce(self.entries.select(F.max("insert_seq").alias("m")).scalar(), F.lit(-1)) + 1
         new = compress(rows, self.codec, "vector", "compressed", self.policy).select(
@@ -136,7 +146,7 @@ class Corpus:
             normalized_metadata(F.col("metadata")).alias("metadata"),
             (after + F.col("ordinal")).alias("insert_seq"),
         )
-        return self._with_event("inserted", self.entries.unionByName(new), ids, len(ids))
+        return self._with_event("inserted", self.entries.unionByName(new), ids, count)
 
     def append_compressed(self, rows: DataFrame) -> Corpus:
         """Takes entries compressed elsewhere (vec_id, compressed, insert_seq); another configuration refuses them all."""
@@ -151,8 +161,8 @@ class Corpus:
             F.lit(None).cast("map<string,variant>").alias("metadata"),
             "insert_seq",
         )
-        ids = tuple(r["vec_id"] for r in rows.select("vec_id", "insert_seq").orderBy("insert_seq").collect())
-        return self._with_event("inserted", self.entries.unionByName(new), ids, len(ids)) if ids else self
+        count, ids = _listed(rows.select("vec_id", "insert_seq"))
+        return self._with_event("inserted", self.entries.unionByName(new), ids, count) if count else self
 
     def get(self, vec_id: str) -> DataFrame:
         found = self.entries.where(F.col("vec_id") == vec_id)
