@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, compress, islice
 
 import numpy as np
 
@@ -28,10 +28,14 @@ _PIECES = re.compile(f"[^{WHITE}]+")
 class _Index(dict):
     """Numbers its keys from 0 and lists the new ones."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known: Iterable[tuple[str, int]] = ()) -> None:
+        super().__init__(known)
         self.new: list[str] = []
 
+    def first(self, n: int) -> _Index:
+        """Of the keys only the `n` oldest, which keep their numbers."""
+        return _Index(islice(self.items(), n))
+
     def __missing__(self, key: str) -> int:
         self[key] = number = len(self)
         self.new.append(key)
@@ -58,6 +62,10 @@ class _Lists:
         self.lengths[self.n : n] = lengths
         self.used, self.n = end, n
 
+    def shorten(self, n: int) -> None:
+        """Keeps the `n` oldest lists."""
+        self.n, self.used = n, int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of `numbers` one after the other, and the length of each."""
         lengths = self.lengths[numbers]
@@ -71,20 +79,28 @@ class PieceTable:
     """Encodes texts through `encode`, which is asked for each distinct word or other piece once while it is remembered.
 
     A piece is a core and perhaps a tail character; pieces are numbered
-    apart from cores, for there are more of them.
+    apart from cores, for there are more of them. When the memory is full the
+    older half stays, among which the common ones are.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], pieces: int = 500_000, cores: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], pieces: int = 400_000, cores: int = 800_000) -> None:
         self.encode_new, self.most_pieces, self.most_cores = encode, pieces, cores
-        self._forget_cores()
-
-    def _forget_cores(self) -> None:
         self.cores, self.lists = _Index(), _Lists()
-        self._forget_pieces()
-
-    def _forget_pieces(self) -> None:
         self.index, self.parts = _Index(), np.empty((1 << 16, 2), np.int32)
 
+    def _make_room(self) -> None:
+        if len(self.cores) >= self.most_cores:
+            left = self.most_cores // 2
+            self.cores = self.cores.first(left)
+            self.lists.shorten(left)
+            kept = np.flatnonzero((self.parts[: len(self.index)] < left).all(axis=1))
+            whole = np.zeros(len(self.index), bool)
+            whole[kept] = True
+            self.parts[: len(kept)] = self.parts[kept]
+            self.index = _Index((key, i) for i, key in enumerate(compress(self.index, whole.tolist())))
+        if len(self.index) >= self.most_pieces:
+            self.index = self.index.first(self.most_pieces // 2)
+
     def cut(self, text: str) -> list[str]:
         if text.isascii():
             text = text if "<|" in text else text.lower()
@@ -108,10 +124,7 @@ class PieceTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the offsets of each text's."""
-        if len(self.cores) >= self.most_cores:
-            self._forget_cores()
-        elif len(self.index) >= self.most_pieces:
-            self._forget_pieces()
+        self._make_room()
         known = len(self.index)
         cut = [*map(self.cut, texts)]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
