@@ -66,7 +66,7 @@ class Vocabulary:
         self.pre_token = regex.compile(pattern)
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = dict(enumerate(byte_letters()))
-        self.table = PieceTable(lambda pieces: [*map(self.piece, pieces)], REMEMBERED // 2, REMEMBERED)
+        self.table = PieceTable(lambda pieces: [*map(self.piece, pieces)], REMEMBERED // 2, REMEMBERED, keep_half=True)
 
     def parts(self, letters: str) -> list[str]:
         """The final parts of one pre-token, whose last letter carries the word end."""

@@ -80,15 +80,23 @@ class PieceTable:
 
     A piece is a core and perhaps a tail character; pieces are numbered
     apart from cores, for there are more of them. When the memory is full the
-    older half stays, among which the common ones are.
+    older half stays, among which the common ones are, or (keep_half=False)
+    nothing, which suits memories that are seldom full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], pieces: int = 400_000, cores: int = 800_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], pieces: int = 500_000, cores: int = 1_000_000, keep_half: bool = False) -> None:
+        self.keep_half = keep_half
         self.encode_new, self.most_pieces, self.most_cores = encode, pieces, cores
         self.cores, self.lists = _Index(), _Lists()
         self.index, self.parts = _Index(), np.empty((1 << 16, 2), np.int32)
 
     def _make_room(self) -> None:
+        if not self.keep_half:
+            if len(self.cores) >= self.most_cores:
+                self.cores, self.lists, self.index = _Index(), _Lists(), _Index()
+            elif len(self.index) >= self.most_pieces:
+                self.index = _Index()
+            return
         if len(self.cores) >= self.most_cores:
             left = self.most_cores // 2
             self.cores = self.cores.first(left)
