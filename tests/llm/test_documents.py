@@ -184,3 +184,16 @@ def test_recall_of_the_forest():
         hit += np.isin(np.argsort(-scores)[:20], found).sum()
         assert q in found
     assert hit / (20 * len(asked)) >= 0.9
+
+
+@pytest.mark.parametrize("dimension", [64, 384])
+def test_recall_by_inner_product_of_unequal_lengths(dimension):
+    rng = np.random.default_rng(14)
+    rows = rng.standard_normal((6000, dimension)) * rng.lognormal(0.0, 1.0, (6000, 1))
+    asked, enough, hit = rows[:40], int(lsh_forest.SHARE * len(rows)), 0
+    for q, found in enumerate(lsh_forest.Forest(rows).candidates(asked, enough)):
+        assert len(found) >= enough
+        scores = rows @ asked[q]
+        scores[q] = -np.inf
+        hit += np.isin(np.argsort(-scores)[:20], found).sum()
+    assert hit / (20 * len(asked)) >= 0.9

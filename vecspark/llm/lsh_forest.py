@@ -5,7 +5,9 @@ tree hashes every vector to a long string of hyperplane signs (hyperplanes
 orthogonal within a tree, thresholds at the shard's medians) and keeps the
 sorted array of the strings. A query descends every tree to its longest
 matching prefix, then all trees ascend together, one letter at a time, until
-the prefix ranges hold enough candidates; those are scored exactly. A fixed
+the prefix ranges hold enough different candidates; those are scored exactly.
+Nearness is the inner product, so vectors are hashed with one coordinate more
+that makes their lengths equal. A fixed
 share of a shard's rows is asked for, so recall does not fall as tables grow.
 Every shard sees every query class, in blocks, and keeps the best few per
 query; a hot vector is one row with the few ids that can be of use.
@@ -34,7 +36,7 @@ from vecspark.llm.common import written
 NEAREST = 20
 TREES = 32
 LETTERS = 32
-#: Candidates to reach, over all trees, as a share of a shard's vectors.
+#: Different candidates to reach, as a share of a shard's vectors.
 SHARE = 0.75
 #: ... and at least so many, which searches small shards all but wholly.
 LEAST = 4000
@@ -59,17 +61,33 @@ def hyperplanes(dimension: int, tree: int, letters: int = LETTERS) -> np.ndarray
     return np.concatenate(groups, axis=1)[:, :letters].astype(np.float32)
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled by the greatest length, and one coordinate more that makes all of length 1: angles to `flat` queries then order them by inner product."""
+    scaled = vectors / np.abs(vectors).max()
+    scaled /= _lengths(scaled).max()
+    return np.hstack([scaled, np.sqrt(np.maximum(0.0, 1.0 - _lengths(scaled) ** 2))]).astype(np.float32)
+
+
+def flat(queries: np.ndarray) -> np.ndarray:
+    """Rows of length 1, the coordinate more being zero."""
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return np.hstack([scaled / _lengths(scaled), np.zeros((len(queries), 1))]).astype(np.float32)
+
+
 class Forest:
     """The sorted hash strings of one shard's vectors, a row each."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, letters: int = LETTERS) -> None:
         self.vectors, self.letters = vectors, letters
-        small = vectors.astype(np.float32)
-        self.small = small / np.linalg.norm(small, axis=1, keepdims=True)
+        small = lifted(vectors)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for tree in range(trees):
-            planes = hyperplanes(vectors.shape[1], tree, letters)
-            projected = self.small @ planes
+            planes = hyperplanes(small.shape[1], tree, letters)
+            projected = small @ planes
             middle = np.median(projected[:FITTED], axis=0)
             strings = self._strings(projected, middle)
             order = np.argsort(strings, kind="stable")
@@ -80,9 +98,8 @@ class Forest:
         return np.where(projected > middle, powers, np.uint64(0)).sum(axis=1, dtype=np.uint64)
 
     def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """Rows that share the longest prefixes with each query, in any tree, at least `enough` over all trees if there are."""
-        small = queries.astype(np.float32)
-        small /= np.linalg.norm(small, axis=1, keepdims=True)
+        """Rows that share the longest prefixes with each query, in any tree, at least `enough` different ones if there are."""
+        small = flat(queries)
         rest = np.arange(self.letters + 1, dtype=np.uint64)  # letters left out, from the whole string to none
         ranges = []
         for planes, middle, strings, _ in self.trees:
@@ -91,11 +108,16 @@ class Forest:
             high = low + ((np.uint64(1) << rest) - np.uint64(1))
             ranges.append((np.searchsorted(strings, low), np.searchsorted(strings, high, side="right")))
         found = sum(b - a for a, b in ranges)
-        up = np.argmax(found >= np.minimum(enough, found[:, -1:]), axis=1)
+        enough = min(enough, len(self.vectors))
+        up = np.argmax(found >= enough, axis=1)  # a row counts once per tree here, so the ascent ends no lower
         for q, level in enumerate(up.tolist()):
             mark = np.zeros(len(self.vectors), bool)
-            for (a, b), tree in zip(ranges, self.trees, strict=True):
-                mark[tree[3][a[q, level] : b[q, level]]] = True
+            while True:
+                for (a, b), tree in zip(ranges, self.trees, strict=True):
+                    mark[tree[3][a[q, level] : b[q, level]]] = True
+                if np.count_nonzero(mark) >= enough:
+                    break
+                level += 1
             yield np.flatnonzero(mark)
 
 
