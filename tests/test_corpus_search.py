@@ -11,7 +11,7 @@ from vecspark.config import CodecConfig
 from vecspark.operators.baselines import quality_report
 from vecspark.operators.codebook import train
 from vecspark.operators.corpus import Corpus
-from vecspark.operators.metrics import compression_ratio, correlation
+from vecspark.operators.metrics import compression_ratio, correlation, query_correlation
 from vecspark.operators.search import SearchIndex, top_k, top_k_many
 
 DIMENSION = 16
@@ -173,3 +173,31 @@ def test_quality_gates(spark, sf_dir):
     assert got["codec4r"]["rho"] >= got["codec4"]["rho"] and got["codec8"]["mse"] < got["codec4"]["mse"] < got["codec2"]["mse"]
     assert got["fp32"]["recall_at_k"] == 1.0 and got["fp16"]["rho"] > 0.9999
     assert compression_ratio(64, 4, True) == pytest.approx(1.6)
+
+
+def test_correlation_sees_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    before = rng.standard_normal((90, 8))
+    after = before + rng.standard_normal((90, 8)) * (np.arange(90) % 20 != 0)[:, None]  # the queries themselves are restored exactly
+    before[41] = after[43] = 0.0
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(before, after, strict=True))]
+    df = spark.createDataFrame([*rows, (90, None, None)], "vec_id long, embedding array<double>, vector array<double>")
+    monkeypatch.setattr("vecspark.operators.metrics.BLOCK", 2)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    x, y = (unit(m)[::20] @ unit(m).T for m in (before, after))
+    others = np.arange(90) != np.arange(0, 90, 20)[:, None]
+    want = np.corrcoef(x[others], y[others])[0, 1]
+    assert want < 0.95
+    assert query_correlation(df, F.col("vec_id") % 20 == 0, 91, 8).first()["rho"] == pytest.approx(want, abs=1e-12)
+    assert query_correlation(df.where("false"), F.col("vec_id") % 20 == 0, 0, 8).first()["rho"] == 0.0
+
+
+def test_report_correlates_every_row(spark):
+    rng = np.random.default_rng(9)
+    values = rng.standard_normal((600, 64)).astype(np.float32)
+    for i in (0, 200, 400):
+        values[i] = np.where(rng.random(64) < 0.5, -1.0 - i / 1000, 1.0 + i / 1000)  # two levels are restored exactly
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>")
+    report = quality_report(df, 64, query_stride=200).where("method IN ('fp32', 'uint8')").select("method", "rho")
+    rho = {r["method"]: r["rho"] for r in report.collect()}
+    assert rho["fp32"] == pytest.approx(1.0, abs=1e-12) and 0.99 < rho["uint8"] < 1.0 - 1e-7

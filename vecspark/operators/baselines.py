@@ -39,10 +39,12 @@ def quality_report(df: DataFrame, dimension: int, k: int = 10, seed: int = 42, q
     """One row per method: bytes_per_vector, ratio, rho, recall_at_k, mse.
 
     Queries are the rows whose id is divisible by `query_stride`; their
-    neighbours are searched in all rows, before and after compression.
+    neighbours are searched in all rows, before and after compression, and
+    rho correlates their scores with every other row.
     """
     rows = df.select(id_col, vector)
-    queries = rows.where(F.col(id_col) % query_stride == 0)
+    is_query = F.col(id_col) % query_stride == 0
+    queries, n = rows.where(is_query), rows.count()
     true = top_k_many(rows, queries, k, id_col, vector, exclude_self=True).persist()
     reports: list[DataFrame] = []
     methods: list[tuple[str, int | None, bool | None, float, DataFrame]] = [
@@ -56,8 +58,7 @@ def quality_report(df: DataFrame, dimension: int, k: int = 10, seed: int = 42, q
             methods.append((f"codec{bits}{'r' if residual else ''}", bits, residual, size, round_trip(rows, codec, vector)))
     for method, bits, residual, size, restored in methods:
         found = top_k_many(restored.select(id_col, F.col("vector").alias(vector)), queries, k, id_col, vector, exclude_self=True)
-        pairs = metrics.pair_scores(restored, id_col, vector, "vector", query_stride)
-        rho = pairs.agg(metrics.correlation(F.col("original"), F.col("restored")).alias("rho"))
+        rho = metrics.query_correlation(restored, is_query, n, dimension, id_col, vector)
         reports.append(
             metrics.mean_squared_error(restored, vector).select(
                 F.lit(method).alias("method"),

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import exprs
+from vecspark.operators.search import SHARD_BYTES, _matrix, _unit
+
+#: Shards at least, and queries that are scored at once.
+MIN_SHARDS = 8
+BLOCK = 256
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -25,6 +34,69 @@ def pair_scores(rows: DataFrame, id_col: str = "vec_id", original: str = "embedd
     )
 
 
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple[int, float, float, float, float, float]:
+    mx, my = float(x.mean()), float(y.mean())
+    x, y = x - mx, y - my
+    return len(x), mx, my, float(x @ x), float(y @ y), float(x @ y)
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, asks, id, original, restored), a shard's rows before its queries, to moments of the two scores."""
+    shard: int | None = None
+    stored: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
+        bounds = [0, *cuts.tolist(), len(shards)]
+        out = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            ids, original, restored = part.column(2).to_numpy(), _unit(_matrix(part.column(3))), _unit(_matrix(part.column(4)))
+            if shards[a] != shard:
+                shard, stored = shards[a], []
+            if not asks[a]:
+                stored.append((ids, original, restored))
+                continue
+            for at in range(0, len(ids), BLOCK):
+                own = slice(at, at + BLOCK)
+                for names, before, after in stored:
+                    others = ids[own, None] != names
+                    if others.any():
+                        x, y = original[own] @ before.T, restored[own] @ after.T
+                        out.append(_moments(np.nan_to_num(x[others], nan=0.0), np.nan_to_num(y[others], nan=0.0)))
+        if out:
+            n, *rest = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in rest)], names=["n", "mx", "my", "xx", "yy", "xy"])
+
+
+def query_correlation(rows: DataFrame, is_query: Column, n: int, width: int, id_col: str = "vec_id", original: str = "embedding", restored: str = "vector") -> DataFrame:
+    """One row: rho of the cosines of each query with every other row, before and after, for `n` rows of length `width`.
+
+    The rows are dealt to shards, every shard sees all queries, in blocks, and
+    only moments leave it. As `correlation`, 0 for a constant side.
+    """
+    shards = max(MIN_SHARDS, -(-n * width * 16 // SHARD_BYTES))
+    named = rows.where(F.col(original).isNotNull() & F.col(restored).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"),
+        F.coalesce(is_query, F.lit(False)).alias("is_query"),
+        F.col(original).cast("array<double>").alias("o"),
+        F.col(restored).cast("array<double>").alias("r"),
+    )
+    place = lambda shard, asks: F.struct(shard.cast("int").alias("shard"), F.lit(asks).alias("asks"))
+    stored = F.array(place(F.pmod(F.xxhash64("id"), F.lit(shards)), False))
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: place(s, True))
+    placed = named.select(F.explode(F.when(F.col("is_query"), F.concat(stored, everywhere)).otherwise(stored)).alias("at"), "id", "o", "r")
+    dealt = placed.select("at.shard", "at.asks", "id", "o", "r").repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = dealt.mapInArrow(_scored, "n long, mx double, my double, xx double, yy double, xy double")
+    total = lambda within, a, b: F.sum(within) + F.sum(F.col("n") * F.col(a) * F.col(b)) - F.sum(F.col("n") * F.col(a)) * F.sum(F.col("n") * F.col(b)) / F.sum("n")
+    sums = found.agg(total("xx", "mx", "mx").alias("xx"), total("yy", "my", "my").alias("yy"), total("xy", "mx", "my").alias("xy"))
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    value = F.when(spread > 0, F.try_divide(F.col("xy"), spread))
+    return sums.select(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0)))).alias("rho"))
+
+
 def recall(true: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """One row: the mean share of each query's true neighbours (query_id, vec_id) that were found."""
     hits = true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
