@@ -172,6 +172,14 @@ def test_random_texts_of_few_letters(spark):
         assert sorted(map(tuple, suffix_dedup.removed(df, length=length).collect()), key=repr) == covered(rows, length)
 
 
+def test_equal_ids_with_different_texts(spark):
+    rng = np.random.default_rng(7)
+    old, other, clean = ("".join(rng.choice(list("abcdefgh"), n)) for n in (200, 300, 120))
+    rows = [(1, old), (2, other), (5, clean + old), (5, other[100:] + clean), (5, clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.removed(df).collect()), key=repr) == covered(rows, 50)
+
+
 def test_routes_do_not_matter(documents):
     key = lambda df: sorted((r["id"], r["class"], r["whole"], suffix_dedup.united([tuple(x) for x in r["spans"] or []])) for r in df.collect())
     whole = key(suffix_dedup.covered_spans(documents))
