@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
-import unicodedata
 from itertools import chain
 from pathlib import Path
 
@@ -51,7 +51,12 @@ class Vocabulary:
     """A tokenizer file's word-end byte-level BPE."""
 
     def __init__(self, content: bytes) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
+        from tokenizers import Tokenizer
+
         spec = json.loads(content)
+        library = Tokenizer.from_str(content.decode())
+        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
@@ -109,18 +114,16 @@ class Vocabulary:
                     heapq.heappush(heap, (r, left, right, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
-    def _word(self, word: str) -> list[int]:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+    def _word(self, letters: str) -> list[int]:
         return [self.ids[p] for p in self.parts(letters) if p in self.ids]
 
     def _plain(self, piece: str) -> list[int]:
-        folded = unicodedata.normalize("NFC", piece)
-        folded = folded.lower() if "Σ" not in folded else "".join(c.lower() for c in folded)
-        if folded.isascii():
-            return [*chain.from_iterable(map(self._word, self.pre_token.findall(folded)))]
-        # Letters newer than the library's Unicode tables are no letters to it.
-        shape = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in folded)
-        return [*chain.from_iterable(self._word(folded[m.start() : m.end()]) for m in self.pre_token.finditer(shape))]
+        """Which letters there are, and their small forms, is what the file's normalizer and pre-tokenizer say; ASCII needs neither."""
+        if piece.isascii():
+            cut = [word.translate(self.letters) for word in self.pre_token.findall(piece.lower())]
+        else:
+            cut = [letters for letters, _ in self.cut(self.normal(piece))]
+        return [*chain.from_iterable(map(self._word, cut))]
 
     def piece(self, piece: str) -> list[int]:
         """The ids of a piece without white space."""

@@ -25,6 +25,14 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(f"[^{WHITE}]+")
 
 
+def ends_alone(core: str) -> bool:
+    """Whether a tail after `core` is a pre-token of its own: the core's normal form must end in a letter or digit.
+
+    Dotted capital I ends in a combining dot once it is folded, which joins the punctuation after it.
+    """
+    return core.isalnum() and (core.isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalnum())
+
+
 class _Index(dict):
     """Numbers its keys from 0 and lists the new ones."""
 
@@ -121,7 +129,7 @@ class PieceTable:
         """Takes in the pieces numbered from `first` on."""
         new, self.index.new = self.index.new, []
         core = self.cores.__getitem__
-        pairs = [(core(p[:-1]), core(p[-1])) if p[-1] in TAIL and p[:-1].isalnum() else (core(p), -1) for p in new]
+        pairs = [(core(p[:-1]), core(p[-1])) if p[-1] in TAIL and ends_alone(p[:-1]) else (core(p), -1) for p in new]
         end = first + len(new)
         while end > len(self.parts):
             self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
