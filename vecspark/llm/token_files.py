@@ -13,7 +13,7 @@ pieces.py). With `by_piece=False` whole texts are encoded.
 
 Defined results: a null or blank text has the end id alone; a null document
 id sorts first; rows with the same id stand together in order of their text's
-hash; an empty table gives an empty file set and no rows; extra columns are
+hash, and their starts follow that order; an empty table gives an empty file set and no rows; extra columns are
 not written.
 """
 
@@ -113,10 +113,15 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_i
 
 
 def write_orc(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int | None = END_ID, by_piece: bool = True) -> str:
-    """Writes (id, part, ids) in ascending id order, a file per part; returns the folder."""
+    """Writes (id, part, row, ids) in ascending id order, a file per part; returns the folder.
+
+    `row` numbers the rows of a part in the order in which they stand in its file.
+    """
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64(F.col(text)).asc()]
     dealt = df.select(id_col, text).repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded = encode(dealt, path, text, "ids", end_id, by_piece).select(id_col, F.spark_partition_id().alias("part"), "ids")
+    # The upper bits of the increasing id are the part.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    encoded = encode(dealt, path, text, "ids", end_id, by_piece).select(id_col, F.spark_partition_id().alias("part"), row.alias("row"), "ids")
     (
         encoded.write.format("orc")
         .option("orc.compress", "ZSTD")
@@ -143,16 +148,16 @@ def _ids_crc32(column: pa.ListArray) -> pa.Array:
 def layout(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per stored document: id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Starts are summed within parts, each a task's worth of documents, and
-    over the parts' totals; only narrow rows move.
+    Starts are summed in the order of the files: within parts, each a task's
+    worth of documents, and over the parts' totals; only narrow rows move.
     """
     stored = stored.withColumn("n_tokens", F.size("ids").cast("bigint"))
     place = stored.columns.index("ids")
-    summed = add_columns(stored, [T.StructField("ids_crc32", T.LongType())], lambda: lambda part: [_ids_crc32(part.column(place))], [id_col, "part", "n_tokens"])
+    summed = add_columns(stored, [T.StructField("ids_crc32", T.LongType())], lambda: lambda part: [_ids_crc32(part.column(place))], [id_col, "part", "row", "n_tokens"])
     rows = written(summed, "layout")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .join(offsets, "part")
