@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vecspark.llm import bpe, pieces, token_files, trie_counts
@@ -32,12 +33,40 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(codec="utf-8", max_codepoint=0x3000, exclude_categories=["Cn"]), max_size=30), max_size=4))
-def test_encoders_equal_the_library(library, encoders, items):
+def encoded_alike(library, encoders, items):
+    want = [e.ids for e in library.encode_batch_fast(items, add_special_tokens=False)]
     for encoder in encoders:
         ids, offsets = encoder.encode(items)
-        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [ids_of(library, x) for x in items]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+
+
+#: Letters whose small or composed form ends in a mark, letters newer than Python's tables, and what often stands beside them.
+ODD_LETTERS = ["İ", "\u0345", "Σ", "ΐ", "\u0307", "\u1c89", "\ua7cb", "\U000105c0", "\U00010d4a", "ﬁ", "²", "Ⅷ", "'s", "!", ".", ",", ")", " ", "\x1c", "A", "b", "<|endoftext|>"]
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(st.characters(codec="utf-8", exclude_categories=["Cs"]) | st.sampled_from(ODD_LETTERS), max_size=30).map("".join), max_size=4))
+def test_encoders_equal_the_library(library, encoders, items):
+    encoded_alike(library, encoders, items)
+
+
+def test_every_code_point_beside_letters_and_punctuation(library, encoders):
+    for form in ("{}", "a{}.", "İ{}, A{}b!"):
+        items = [form.replace("{}", chr(c)) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c >= 0xA000) and not 0xAC00 <= c < 0xD7A0]
+        for i in range(0, len(items), 4096):
+            encoded_alike(library, encoders, items[i : i + 4096])
+
+
+@pytest.mark.parametrize("text", ["AKADEMİ.", "İ,", "Üniversitesİ!", "(İ)", "x\u0345.", "\u1c89\u1c8a.", "ab\ua7cbcd!", "\U00010d4a\U00010d4b?"])
+def test_letters_that_fold_into_marks(library, encoders, text):
+    encoded_alike(library, encoders, [text, f"see {text} and {text.lower()}"])
+
+
+def test_very_long_texts(library, encoders):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeé"), n)) for n in rng.integers(1, 12, 500)]
+    long = " ".join(words[i] for i in rng.integers(0, 500, 60_000))
+    encoded_alike(library, encoders, [long, "q" * 100_000, "é" * 20_000 + "."])
 
 
 def test_a_small_memory_changes_nothing(library, encoders):
@@ -79,6 +108,49 @@ def test_token_files(spark, library, odd, odd_rows, empty, tmp_path):
     assert token_files.tokens_written(empty, PATH).count() == 0
 
 
+def test_starts_follow_the_files_for_equal_ids(spark, library, tmp_path):
+    texts = [" ".join(["word"] * n) for n in (4, 2, 7, 1, 3)]
+    rows = [(7, t) for t in texts] + [(7, texts[0]), (3, "a b"), (9, "c"), (None, "d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = token_files.write_orc(docs, f"file://{tmp_path}/orc", PATH)
+    stored = sorted(spark.read.orc(folder).collect(), key=lambda r: (r["part"], r["row"]))
+    starts = np.cumsum([0, *(len(r["ids"]) for r in stored)])[:-1].tolist()
+    want = [(r["doc_id"], s, len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r, s in zip(stored, starts, strict=True)]
+    assert sorted(map(tuple, token_files.layout(spark.read.orc(folder)).collect()), key=lambda r: r[1]) == want
+    assert [r["doc_id"] for r in stored] == [None, 3, *[7] * 6, 9]
+
+
+def orc_streams(spark, path):
+    """Of each stripe the kinds of its streams, and the rows to an index entry, as the format's own reader sees them."""
+    jvm = spark._jvm
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    rows = reader.rows()
+    kinds = [{(str(s.getKind()), s.getColumn()) for s in rows.readStripeFooter(stripe).getStreamsList()} for stripe in reader.getStripes()]
+    rows.close()
+    return kinds, reader.getRowIndexStride()
+
+
+def test_orc_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(token_files, "STRIPE_BYTES", 200_000)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.col("id") * 7919, F.md5(F.col("id").cast("string"))).alias("text"))
+    folder = token_files.write_orc(docs.coalesce(1), f"file://{tmp_path}/orc", PATH)
+    files = glob.glob(f"{tmp_path}/orc/*.orc")
+    seen = [orc_streams(spark, f"file://{f}") for f in files]
+    assert sum(len(kinds) for kinds, _ in seen) > len(files)  # several stripes in a file
+    for kinds, stride in seen:
+        assert stride == token_files.ROW_INDEX_STRIDE
+        assert all(("BLOOM_FILTER_UTF8", 1) in k and ("ROW_INDEX", 1) in k and ("ROW_INDEX", 4) in k for k in kinds)
+    for wanted in ([123], [5, 39_990]):
+        one = token_files.read_orc(spark, folder, ids_wanted=wanted)
+        plan = one._jdf.queryExecution().executedPlan()
+        assert sorted(r["doc_id"] for r in one.collect()) == wanted
+        leaves = plan.collectLeaves()
+        read = leaves.head().metrics().apply("numOutputRows").value()
+        assert 0 < read <= 2 * len(wanted) * token_files.ROW_INDEX_STRIDE  # row groups that the indexes exclude are not read
+
+
 def test_orc_files_prune_by_id(spark, library, documents, tmp_path):
     import glob
 
