@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vecspark.llm.arrow import add_columns, kept_once, texts
+from vecspark.llm.common import fresh
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 2000
@@ -181,5 +182,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def confident(df: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
     """The rows whose language is determined with a score of at least `least`, in the input's columns."""
-    found = identify(df, model, text, out=("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).select(*df.columns)
+    language, score = names = fresh(df, "_lang_pred", "_lang_score")
+    found = identify(df, model, text, out=(language, score))
+    return found.where((F.col(language) != UNDETERMINED) & (F.col(score) >= least)).drop(*names).select(*df.columns)

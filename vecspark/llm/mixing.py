@@ -11,7 +11,8 @@ Defined results: a null source is one source, standing last; a null or
 empty text has size 0 and is taken as often as its source's rate says, at no
 words; a source of size 0 has target 0 and rate 0; repeated rows are rows
 like any other; an empty table gives an empty table. Other columns pass
-through; the names this operator adds replace any the input has.
+through, whatever their names; those that `systematic_mix` adds replace any of
+the same name.
 The table of sources, one row each, is summed in one task.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecspark.llm.common import WORDS, fraction, running_sum
+from vecspark.llm.common import WORDS, fraction, fresh, keyed, running_sum, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -60,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     )
 
 
-def systematic_mix(
+def decisions(
     df: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
@@ -69,15 +70,19 @@ def systematic_mix(
     most: float = MOST_COPIES,
     seed: int = SEED,
     size: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds size (`size`, or else the words of `text`), source_size, target, copies and taken to every row."""
-    kept = [c for c in df.columns if c not in ADDED]
+    """The narrow part of the mix, a row for each of `df`: its columns `carry`, id, size (`size`, or else the words of `text`), source_size, target, copies and taken.
+
+    The words are counted once and written with the id and the source; texts
+    do not move.
+    """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
-    sized = df.select(*kept, (words_in(text) if size is None else size).alias("size")).withColumn("_key", key)
-    ranked = running_sum(
-        sized.withColumn("_one", F.lit(1)), "_key", [F.col("size"), F.col(id_col)], "_one", "_rank"
-    )
-    sizes = sized.groupBy("_key").agg(F.first(source).alias("source"), F.sum("size").alias("source_size"))
+    carried = [F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)]
+    counted = (words_in(text) if size is None else size).cast("bigint")
+    sized = written(df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), key.alias("_key"), counted.alias("size"), *carried), "sizes")
+    ranked = running_sum(sized.withColumn("_one", F.lit(1)), "_key", [F.col("size"), F.col("id")], "_one", "_rank").drop("source")
+    sizes = sized.groupBy("_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     offset = fraction(F.concat(F.lit(f"{seed}:"), F.col("_key")))
@@ -88,11 +93,22 @@ def systematic_mix(
         .withColumn("_offset", offset)
         .withColumn("copies", (step(F.col("_rank") + 1) - step(F.col("_rank"))).cast("bigint"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*kept, "size", "source_size", "target", "copies", "taken")
+        .select(*[F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)], F.col("id").alias(id_col), *ADDED)
     )
 
 
+def systematic_mix(df: DataFrame, **options) -> DataFrame:
+    """Adds size, source_size, target, copies and taken to every row, in place of columns of these names. Options: those of `decisions`."""
+    rows, names = keyed(df)
+    decided = decisions(rows, **options, carry=names).select(*names, *ADDED)
+    return rows.drop(*ADDED).join(decided, names).drop(*names)
+
+
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The mixed table itself: every document as often as it is taken, with the input's columns."""
-    mix = systematic_mix(df, **options)
-    return mix.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*df.columns)
+    """The mixed table itself: every document as often as it is taken, with the input's columns. Only rows that are taken are joined and repeated."""
+    rows, names = keyed(df)
+    (copies,) = fresh(rows, "_copies")
+    decided = decisions(rows, **options, carry=names).where("copies > 0").select(*names, F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copies))
+    taken = rows.join(written(decided, "mix"), names)
+    (number,) = fresh(taken, "_number")
+    return taken.select(*df.columns, F.explode(copies).alias(number)).drop(number)

@@ -64,10 +64,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
-    narrow = docs.select("doc_id", "source", mixing.words_in("text").alias("n_words"))
-    mix = mixing.systematic_mix(narrow, size=F.col("n_words"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.decisions(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm.arrow import add_columns, forget, texts
-from vecspark.llm.common import written
+from vecspark.llm.common import keyed, written
 from vecspark.llm.components import components
 
 #: Fixed values of the fingerprint.
@@ -72,8 +72,8 @@ def fingerprint(text: str) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """Adds the fingerprint as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", keep: list[str] | None = None) -> DataFrame:
+    """Adds the fingerprint as a signed 64-bit integer to `df` or its columns `keep`."""
     place = df.columns.index(text)
 
     def added(part: pa.RecordBatch) -> list[pa.Array]:
@@ -84,7 +84,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fp") -> DataFra
         forget()
         return added
 
-    return add_columns(df, [T.StructField(name, T.LongType())], make)
+    return add_columns(df, [T.StructField(name, T.LongType())], make, keep)
 
 
 def word_counts(fps: np.ndarray) -> np.ndarray:
@@ -231,17 +231,19 @@ def fingerprint_groups(rows: DataFrame, id_col: str = "doc_id", radius: int = RA
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), component_id."""
-    rows = written(fingerprints(df.select(id_col, text), text).select(id_col, "fp"), "simhash")
-    groups = fingerprint_groups(rows, id_col, radius).select("fp", "component_id")
-    return rows.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), keep=["id"]), "simhash")
+    groups = fingerprint_groups(rows, "id", radius).select("fp", "component_id")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(groups, "fp").select(F.col("id").alias(id_col), digits, "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows with the least id of each component, one per component, in the input's columns."""
-    numbered = fingerprints(df, text, "_fp").withColumn("_row", F.monotonically_increasing_id())
-    rows = written(numbered, "simhash")  # which fixes the numbers
-    narrow = rows.select(F.col(id_col).alias("_id"), F.col("_fp").alias("fp"), "_row")
-    groups = fingerprint_groups(narrow, "_id", radius).select("fp", "root")
-    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row"))
-    kept = narrow.join(groups, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    rows, names = keyed(df)
+    named = rows.select(*[F.col(n).alias(k) for n, k in zip(names, ("file", "row"), strict=True)], F.col(id_col).alias("id"), F.col(text).alias("text"))
+    narrow = written(fingerprints(named, keep=["file", "row", "id"]), "simhash")
+    groups = fingerprint_groups(narrow, "id", radius).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "file", "row"))
+    firsts = narrow.join(groups, "fp").groupBy("root").agg(first.alias("first"))
+    kept = written(firsts.select(F.col("first.file").alias(names[0]), F.col("first.row").alias(names[1])), "kept")
+    return rows.join(kept, names, "left_semi").select(*df.columns)
