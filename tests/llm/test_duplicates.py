@@ -106,9 +106,9 @@ def test_one_of_each_keeps_one(odd, odd_rows, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=200) | st.lists(st.integers(0, 255), max_size=200), st.sampled_from([1, 3, 10**9]))
-def test_suffix_array_and_prefixes(letters, crowded):
-    text, suffix_array.CROWDED = np.array(letters, np.int64), crowded
+@given(st.lists(st.integers(0, 3), max_size=200) | st.lists(st.integers(0, 255), max_size=200), st.sampled_from([1, 3, 10**9]), st.sampled_from([0, 1, 100]))
+def test_suffix_array_and_prefixes(letters, crowded, rounds):
+    text, suffix_array.CROWDED, suffix_array.ROUNDS = np.array(letters, np.int64), crowded, rounds
     order = suffix_array.suffix_array(text)
     data = bytes(letters)
     assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
@@ -122,13 +122,13 @@ def test_suffix_array_and_prefixes(letters, crowded):
 
 def test_recursion_is_reached():
     text = np.frombuffer(b"the cat sat on the mat and the cat sat on the hat " * 400, np.uint8)
-    for crowded in (1, 256):
-        suffix_array.CROWDED = crowded
+    for crowded, rounds in ((1, 8), (256, 8), (10**9, 8), (10**9, 0)):
+        suffix_array.CROWDED, suffix_array.ROUNDS = crowded, rounds
         order = suffix_array.suffix_array(text)
         assert sorted(order.tolist()) == list(range(len(text)))
         data = text.tobytes()
         assert all(data[a:] < data[b:] for a, b in zip(order[::97].tolist(), order[1::97].tolist(), strict=False))
-    suffix_array.CROWDED = 256
+    suffix_array.CROWDED, suffix_array.ROUNDS = 256, 8
 
 
 def covered(rows, length):
@@ -183,7 +183,32 @@ def test_equal_ids_with_different_texts(spark):
 def test_routes_do_not_matter(documents):
     key = lambda df: sorted((r["id"], r["class"], r["whole"], suffix_dedup.united([tuple(x) for x in r["spans"] or []])) for r in df.collect())
     whole = key(suffix_dedup.covered_spans(documents))
-    assert len(whole) > 20 and whole == key(suffix_dedup.covered_spans(documents, hot=0)) == key(suffix_dedup.covered_spans(documents, hot=3))
+    assert len(whole) > 20
+    bodies = [r["text"].encode() for r in documents.where("text IS NOT NULL").select("text").collect()]
+    keys, n = np.unique(suffix_dedup.Units(bodies, 50, np.empty(0, np.uint64)).key, return_counts=True)
+    common = keys[n >= 3].tolist()
+    for options in ({"routed": 0, "split": []}, {"routed": 200, "split": common[::2]}, {"split": common}, {"routed": 0, "split": keys.tolist()}):
+        assert whole == key(suffix_dedup.covered_spans(documents, **options))
+
+
+def test_a_passage_in_thousands_of_surroundings_spreads(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(2, 9, 3000)]
+    some = lambda n: " ".join(words[i] for i in rng.integers(0, 3000, n))
+    passage = some(80)
+    rows = [(int(i), f"{some(30)} {passage} {some(30)}") for i in rng.permutation(5000)]
+    rows += [(5000 + i, some(90)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(map(tuple, suffix_dedup.removed(df).collect()), key=repr) == covered(rows, 50)
+    docs = df.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("body")).select("id", F.xxhash64("body").alias("class"), "body")
+    split = suffix_dedup._crowded(docs, 6000, 24, 50)
+    assert 10 < len(split) < 100
+    shipped = spark.sparkContext.broadcast(split)
+    hits = suffix_dedup._hits(docs, 24, 50, suffix_dedup.ROUTED, shipped)
+    kinds = "route long, id long, at int, windows int, region binary, class long"
+    routed = docs.join(hits, "class").select("id", "body", "hits", "class").mapInArrow(suffix_dedup._regions(50, shipped), kinds)
+    routes = [r["count"] for r in routed.groupBy("route").count().collect()]
+    assert max(routes) < sum(routes) / 100  # no route has more than a hundredth of the rows
 
 
 def test_cleaned_texts_keep_columns(odd, odd_rows):
