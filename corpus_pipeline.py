@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's result to the
-shared folder and reads it back as the next one's input. A stage first deletes
-what the operators of the stages before it wrote for themselves, except for
-tables that its input still reads.
+shared folder and reads it back as the next one's input; then it deletes what
+the stage's operators wrote for themselves, and the input of the stage before,
+but nothing that others wrote. Between stages only narrow tables are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import langid, mixing, simhash, suffix_dedup
-from vecspark.llm.common import discard, new_path, read_documents, remove
+from vecspark.llm.common import new_path, read_documents, remove, scratch
 from vecspark.llm.queries import bpe_digests
 
 #: Documents whose language is less certain than this go.
@@ -24,7 +24,6 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is determined. The model learns from this stage's input; held-out rows are left out."""
-    discard(spark, docs)
     model = langid.train(docs, ~langid.held_out())
     return langid.confident(docs, model, LEAST_SCORE)
 
@@ -34,25 +33,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The links are op10's: 4-word SimHashes at 4 bits or fewer, so many near copies of a Jaccard of 0.8 to 0.95 stay.
     """
-    discard(spark, docs)
     return simhash.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out of every text the 50-byte strings that start in an earlier document; n_chars follows the text."""
-    discard(spark, docs)
     return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents by their sources' target weights."""
-    discard(spark, docs)
     return mixing.mixed_rows(docs)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text, a row for each document of the mix."""
-    discard(spark, docs)
     return bpe_digests(docs)
 
 
@@ -73,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read_documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
