@@ -166,6 +166,7 @@ def test_removed_bytes_of_documents(documents, monkeypatch):
 def test_random_texts_of_few_letters(spark):
     rng = np.random.default_rng(6)
     rows = [(int(i), "".join(rng.choice(list("ab "), rng.integers(0, 300), p=[0.48, 0.48, 0.04]))) for i in rng.permutation(30)]
+    rows += [(90, "abc " * 400 + "x" + "abc " * 300), (91, "abc " * 200)]
     rows += [(100 + i, rows[i][1][20:] + rows[i + 1][1][:100]) for i in range(8)] + [(200, "ab" * 300), (201, "ba" * 200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for length in (16, 50):
@@ -202,10 +203,10 @@ def test_a_passage_in_thousands_of_surroundings_spreads(spark):
     assert sorted(map(tuple, suffix_dedup.removed(df).collect()), key=repr) == covered(rows, 50)
     docs = df.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("body")).select("id", F.xxhash64("body").alias("class"), "body")
     split = suffix_dedup._crowded(docs, 6000, 24, 50)
-    assert 10 < len(split) < 100
+    assert 1 < len(split) < 40  # near the ends of the passage
     shipped = spark.sparkContext.broadcast(split)
     hits = suffix_dedup._hits(docs, 24, 50, suffix_dedup.ROUTED, shipped)
-    kinds = "route long, id long, at int, windows int, region binary, class long"
+    kinds = "route long, id long, at int, windows int, region binary, class long, more binary"
     routed = docs.join(hits, "class").select("id", "body", "hits", "class").mapInArrow(suffix_dedup._regions(50, shipped), kinds)
     routes = [r["count"] for r in routed.groupBy("route").count().collect()]
     assert max(routes) < sum(routes) / 100  # no route has more than a hundredth of the rows
