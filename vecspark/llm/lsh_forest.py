@@ -5,10 +5,11 @@ tree hashes every vector to a long string of hyperplane signs (hyperplanes
 orthogonal within a tree, thresholds at the shard's medians) and keeps the
 sorted array of the strings. A query descends every tree to its longest
 matching prefix, then all trees ascend together, one letter at a time, until
-the prefix ranges hold enough different candidates; those are scored exactly.
-Nearness is the inner product, so vectors are hashed with one coordinate more
-that makes their lengths equal. A fixed
-share of a shard's rows is asked for, so recall does not fall as tables grow.
+their ranges hold enough entries; the rows that were met most often, over trees
+and letters, are the candidates, and are scored exactly. How many are needed
+for a recall is fitted in each shard, on a few of its rows, so recall does not
+fall as tables grow or where vectors lie evenly. Nearness is the inner product,
+so vectors are hashed with one coordinate more that makes their lengths equal.
 Every shard sees every query class, in blocks, and keeps the best few per
 query; a hot vector is one row with the few ids that can be of use.
 
@@ -34,19 +35,23 @@ from vecspark.llm.arrow import small_batches
 from vecspark.llm.common import written
 
 NEAREST = 20
-TREES = 32
+TREES = 128
 LETTERS = 32
-#: Different candidates to reach, as a share of a shard's vectors.
+#: Entries of the trees' ranges to reach for each row of a shard, and letters below the last one that count.
+MET = 6
+DEEP = 4
+#: Candidates: so many that RECALL of the nearest of TUNED rows of the shard are among them, this share of the rows at most, and so many for each neighbour at least.
+RECALL = 0.975
+TUNED = 32
 SHARE = 0.75
-#: ... and at least so many, which searches small shards all but wholly.
-LEAST = 4000
+EACH = 16
 #: Vectors in a shard at most; small tables are split down to SPLIT vectors over MIN_SHARDS shards.
 SHARD = 1 << 15
 SPLIT = 1 << 10
 MIN_SHARDS = 8
 SEED = 7
 #: Queries handled at once, and vectors that fit the thresholds of a shard.
-BLOCK = 512
+BLOCK = 128
 FITTED = 4096
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -79,46 +84,82 @@ def flat(queries: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """The sorted hash strings of one shard's vectors, a row each."""
+    """The sorted hash strings of one shard's vectors, a row for each tree."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, letters: int = LETTERS) -> None:
         self.vectors, self.letters = vectors, letters
-        small = lifted(vectors)
-        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        small, n = lifted(vectors), len(vectors)
+        self.planes, self.middles = [], []
+        self.strings, self.rows = np.empty((trees, n), np.uint32), np.empty((trees, n), np.int32)
         for tree in range(trees):
             planes = hyperplanes(small.shape[1], tree, letters)
             projected = small @ planes
             middle = np.median(projected[:FITTED], axis=0)
             strings = self._strings(projected, middle)
-            order = np.argsort(strings, kind="stable")
-            self.trees.append((planes, middle, strings[order], order))
+            self.rows[tree] = order = np.argsort(strings)
+            self.strings[tree] = strings[order]
+            self.planes.append(planes)
+            self.middles.append(middle)
 
     def _strings(self, projected: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        powers = np.uint64(1) << np.arange(self.letters - 1, -1, -1, dtype=np.uint64)
-        return np.where(projected > middle, powers, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        """The signs as integers, the first letter in the highest bit."""
+        bits = np.zeros((len(projected), 32), bool)
+        bits[:, 32 - self.letters :] = projected > middle
+        return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
 
-    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """Rows that share the longest prefixes with each query, in any tree, at least `enough` different ones if there are."""
-        small = flat(queries)
-        rest = np.arange(self.letters + 1, dtype=np.uint64)  # letters left out, from the whole string to none
-        ranges = []
-        for planes, middle, strings, _ in self.trees:
-            own = self._strings(small @ planes, middle)[:, None]
-            low = own >> rest << rest
-            high = low + ((np.uint64(1) << rest) - np.uint64(1))
-            ranges.append((np.searchsorted(strings, low), np.searchsorted(strings, high, side="right")))
-        found = sum(b - a for a, b in ranges)
-        enough = min(enough, len(self.vectors))
-        up = np.argmax(found >= enough, axis=1)  # a row counts once per tree here, so the ascent ends no lower
-        for q, level in enumerate(up.tolist()):
-            mark = np.zeros(len(self.vectors), bool)
+    def _ranges(self, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By query, letters left out and tree: the range of rows that share the other letters."""
+        rest = np.arange(self.letters + 1, dtype=np.uint64)
+        low = np.empty((len(small), self.letters + 1, len(self.planes)), np.int32)
+        high = np.empty_like(low)
+        for tree, (planes, middle) in enumerate(zip(self.planes, self.middles, strict=True)):
+            own = self._strings(small @ planes, middle).astype(np.uint64)[:, None] >> rest << rest
+            low[:, :, tree] = np.searchsorted(self.strings[tree], own.astype(np.uint32))
+            high[:, :, tree] = np.searchsorted(self.strings[tree], (own + ((np.uint64(1) << rest) - np.uint64(1))).astype(np.uint32), side="right")
+        return low, high
+
+    def _met(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """How often each row is met on each query's ascent: once for every tree and for every letter of the last few.
+
+        All trees ascend until their ranges hold MET entries for each row of the shard and `enough` different rows.
+        """
+        n = len(self.vectors)
+        low, high = self._ranges(flat(queries))
+        found = (high - low).sum(axis=2, dtype=np.int64)
+        rows, first = self.rows.ravel(), np.arange(len(self.rows), dtype=np.int64) * n
+        for q in range(len(queries)):
+            up = int(np.argmax(found[q] >= min(MET * n, found[q, -1])))
             while True:
-                for (a, b), tree in zip(ranges, self.trees, strict=True):
-                    mark[tree[3][a[q, level] : b[q, level]]] = True
-                if np.count_nonzero(mark) >= enough:
+                levels = slice(max(0, up - DEEP), up + 1)
+                starts, sizes = (low[q, levels] + first).ravel(), (high[q, levels] - low[q, levels]).ravel()
+                ends = np.cumsum(sizes)
+                times = np.bincount(rows[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], minlength=n)
+                if up == self.letters or np.count_nonzero(times) >= enough:
                     break
-                level += 1
-            yield np.flatnonzero(mark)
+                up += 1
+            yield times
+
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """The `enough` different rows that each query meets most often; all rows if there are fewer."""
+        n = len(self.vectors)
+        if enough >= n:
+            yield from (np.arange(n) for _ in queries)
+            return
+        for times in self._met(queries, enough):
+            yield np.argpartition(-times, enough - 1)[:enough]
+
+    def needed(self, k: int, share: float = SHARE, recall: float = RECALL) -> int:
+        """How many candidates hold this share of the `k` nearest, by a few of the rows as queries; `share` of the rows at most."""
+        n = len(self.vectors)
+        asked = self.vectors[:: -(-n // TUNED)]
+        places = []
+        for own, times in zip(asked, self._met(asked, 1), strict=True):
+            scores = self.vectors @ own
+            near = np.argpartition(-scores, min(k, n - 1))[: min(k, n)]
+            behind = np.sort(-times)
+            places.append(np.searchsorted(behind, -times[near], side="right"))
+        fitted = int(np.quantile(np.concatenate(places), recall)) + 1
+        return max(min(n, EACH * k), min(int(share * n), fitted))
 
 
 def _search(k: int, trees: int, letters: int, share: float):
@@ -130,8 +171,7 @@ def _search(k: int, trees: int, letters: int, share: float):
         pairs = sorted((-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[r])[:k]
         return [i for _, i in pairs], [-s for s, _ in pairs]
 
-    def answered(forest: Forest, ids: list[list[int]], keys: list[tuple[int, int]], vectors: np.ndarray) -> pa.RecordBatch:
-        enough = max(LEAST, int(share * len(forest.vectors)))
+    def answered(forest: Forest, ids: list[list[int]], keys: list[tuple[int, int]], vectors: np.ndarray, enough: int) -> pa.RecordBatch:
         found = [best(forest, ids, v, rows) for v, rows in zip(vectors, forest.candidates(vectors, enough), strict=True)]
         return pa.RecordBatch.from_arrays(
             [
@@ -144,7 +184,7 @@ def _search(k: int, trees: int, letters: int, share: float):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, forest = None, None
+        shard, forest, enough = None, None, 0
         ids: list[list[int]] = []
         data: list[np.ndarray] = []
         for batch in batches:
@@ -163,9 +203,10 @@ def _search(k: int, trees: int, letters: int, share: float):
                 elif data or forest:
                     if forest is None:
                         forest, data = Forest(np.concatenate(data), trees, letters), []
+                        enough = forest.needed(k, share)
                     keys = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
                     for s in range(0, len(part), BLOCK):
-                        yield answered(forest, ids, keys[s : s + BLOCK], matrix[s : s + BLOCK])
+                        yield answered(forest, ids, keys[s : s + BLOCK], matrix[s : s + BLOCK], enough)
 
     return run
 
