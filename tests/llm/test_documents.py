@@ -197,3 +197,44 @@ def test_recall_by_inner_product_of_unequal_lengths(dimension):
         scores[q] = -np.inf
         hit += np.isin(np.argsort(-scores)[:20], found).sum()
     assert hit / (20 * len(asked)) >= 0.9
+
+
+def recall_and_share(rows, asked, k=20):
+    forest = lsh_forest.Forest(rows)
+    enough, hit, scored = forest.needed(k), 0, 0
+    for q, found in zip(asked, forest.candidates(rows[asked], enough), strict=True):
+        scores = rows @ rows[q]
+        scores[q] = -np.inf
+        hit += np.isin(np.argpartition(-scores, k)[:k], found).sum()
+        scored += len(found)
+    return hit / (k * len(asked)), scored / (len(asked) * len(rows))
+
+
+def test_candidates_are_few_and_good():
+    """The tables' vectors and a full shard like them; then vectors that no index can prune, where more are scored instead of recall lost."""
+    import pyarrow.parquet as pq
+
+    stored = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist()
+    rng = np.random.default_rng(15)
+    full = rng.standard_normal((lsh_forest.SHARD, 64))
+    for rows in (np.array(stored, np.float64), full / np.linalg.norm(full, axis=1, keepdims=True)):
+        recall, share = recall_and_share(rows, rng.choice(len(rows), 40, replace=False))
+        assert recall >= 0.95 and share <= 0.35, (recall, share)
+    for rows in (rng.standard_normal((3000, 384)), rng.standard_normal((3000, 64)) * rng.lognormal(0.0, 1.0, (3000, 1))):
+        assert recall_and_share(rows, rng.choice(len(rows), 40, replace=False))[0] >= 0.9
+
+
+def test_recall_of_nearest(spark):
+    rng = np.random.default_rng(16)
+    values = rng.standard_normal((4000, 64)).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(values)]
+    got: dict[int, set] = {}
+    for r in lsh_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    matrix = values.astype(np.float64)
+    hit = 0
+    for q in range(0, 4000, 20):
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 200 and hit / (200 * 20) >= 0.95
