@@ -3,8 +3,8 @@
 A fingerprint bit is set if over half of the text's 4-word shingle hashes
 (XXH64, seed 42) set it. Distinct fingerprints are ordered by the population
 counts of their four 16-bit words and packed into blocks; every pair of
-blocks meets in one task, which compares tiles by numpy exclusive-or and bit
-counts. The Hamming distance is at least the sum over the words of the
+blocks whose counts lie within the radius meets in one task, which compares
+tiles by numpy exclusive-or and bit counts. The Hamming distance is at least the sum over the words of the
 differences of their population counts, so tile pairs whose counts differ
 beyond the radius are skipped. A task returns a spanning forest of the links
 it found, not the links: a group of near copies never makes all its pairs.
@@ -156,12 +156,16 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[n
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of at most BLOCK fingerprints, as bytes."""
+    """Blocks of at most BLOCK fingerprints, as bytes, named by their first one, with the bounds of their word counts."""
     held: list[np.ndarray] = []
     size = 0
 
     def block() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block"])
+        fps = np.concatenate(held)
+        counts = word_counts(fps.view(np.uint64))
+        columns = [pa.array([int(fps[0])], pa.int64()), pa.array([fps.tobytes()], pa.binary())]
+        columns += [pa.array([x.tolist()], pa.list_(pa.int32())) for x in (counts.min(axis=0), counts.max(axis=0))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "block", "low", "high"])
 
     for batch in batches:
         fps = batch.column(0).to_numpy()
@@ -177,46 +181,49 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(radius: int):
+    """Rows (i, j, id, block), both blocks of a pair behind each other, to links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(i: int, j: int, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            side = lambda k: [np.frombuffer(x, np.uint64) for slot, x in blocks if slot == k]
-            first = side(i)
-            if i == j:
-                pairs = [(x, None) for x in first] + [(x, y) for n, x in enumerate(first) for y in first[:n]]
-            else:
-                pairs = [(x, y) for x in first for y in side(j)]
-            for x, y in pairs:
-                u, v = linked(x, y, radius)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        key, blocks = None, []
+        def links(i: int, j: int, blocks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            x, y = (np.frombuffer(blocks[k], np.uint64) for k in (i, j))
+            u, v = linked(x, None if i == j else y, radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+        key, blocks = None, {}
         for batch in batches:
-            for i, j, slot, block in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for i, j, name, block in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if key is not None and (i, j) != key:
                     yield from links(*key, blocks)
-                    blocks = []
+                    blocks = {}
                 key = (i, j)
-                blocks.append((slot, block))
+                blocks[name] = block
         if key is not None:
             yield from links(*key, blocks)
 
     return run
 
 
+def block_pairs(blocks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(i, j), i <= j: the blocks (id, low, high) whose word counts allow links between them. Blocks meet by their first word's count."""
+    left = blocks.select(F.col("id").alias("i"), F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.sequence(F.col("low")[0], F.col("high")[0])).alias("count"))
+    right = blocks.select(
+        F.col("id").alias("j"), F.col("low").alias("bl"), F.col("high").alias("bh"), F.explode(F.sequence(F.col("low")[0] - radius, F.col("high")[0] + radius)).alias("count")
+    )
+    gap = sum((F.greatest(F.lit(0), F.col("al")[k] - F.col("bh")[k], F.col("bl")[k] - F.col("ah")[k]) for k in range(4)), F.lit(0))
+    return left.join(right, "count").where((F.col("i") <= F.col("j")) & (gap <= radius)).select("i", "j").distinct()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints `fp` within `radius` as the full links would."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    grid = max(MIN_BLOCKS, -(-n // BLOCK))
+    grid = max(MIN_BLOCKS, -(-distinct.count() // BLOCK))
     quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     ordered = distinct.repartitionByRange(grid, *(quarter(k) for k in range(4)), "fp")
-    blocks = written(ordered.select("fp").mapInArrow(_pack, "block binary"), "blocks")
-    slots = blocks.select(F.pmod(F.xxhash64(F.substring("block", 1, 64)), F.lit(grid)).cast("int").alias("slot"), "block")
-    other = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    met = slots.withColumn("other", other).select(F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "block")
-    pairs = grid * (grid + 1) // 2
-    dealt = met.repartition(min(pairs, 20_000), "i", "j").sortWithinPartitions("i", "j")
+    blocks = written(ordered.select("fp").mapInArrow(_pack, "id long, block binary, low array<int>, high array<int>"), "blocks")
+    pairs = written(block_pairs(blocks.drop("block"), radius), "pairs")
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("id"))
+    met = sides.join(blocks.select("id", "block"), "id").select("i", "j", "id", "block")
+    dealt = met.repartition(min(grid * (grid + 1) // 2, 20_000), "i", "j").sortWithinPartitions("i", "j")
     return written(dealt.mapInArrow(_compare(radius), "u long, v long"), "links")
 
 
