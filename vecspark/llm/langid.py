@@ -9,8 +9,8 @@ largest sum is predicted; the score is the softmax of the mean per word,
 times at most EVIDENCE words.
 
 The model is fitted on at most about DOCS_PER_LANGUAGE labelled documents of
-each language, chosen by a hash of the id, and keeps at most
-WORDS_PER_LANGUAGE words of each: bounds that do not depend on the corpus.
+each language, chosen by a hash of the id, and keeps all their words; a word or
+n-gram takes room for the languages that have it only.
 
 Defined results: a text that is null or without letters gets `und` and score
 0, as does every text if nothing was learned; ties go to the language whose
@@ -21,6 +21,8 @@ through, and columns named like a result are replaced.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,14 +32,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from vecspark.llm.arrow import add_columns, kept_once, texts
 from vecspark.llm.common import fresh
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 2000
-WORDS_PER_LANGUAGE = 30_000
 LONGEST = 4
 SMOOTHING = 0.5
 EVIDENCE = 20
@@ -47,6 +47,37 @@ REMEMBERED = 200_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
+class Table:
+    """Log frequencies, a row for each word or n-gram: those of the languages that have it, and by level what the others get."""
+
+    def __init__(self, languages: int) -> None:
+        self.firsts: list[int] = []
+        self.defaults = np.empty((0, languages), np.float32)
+        self.ends, self.at, self.logs = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
+
+    def add_level(self, rows: np.ndarray, languages: np.ndarray, counts: np.ndarray, n: int) -> None:
+        """`n` rows from entries (row, language, count), each pair once."""
+        if not n:
+            return
+        order = np.lexsort((languages, rows))
+        rows, languages, counts = rows[order], languages[order], counts[order]
+        total = np.bincount(languages, counts, minlength=self.defaults.shape[1]) + SMOOTHING * n
+        self.firsts.append(len(self.ends) - 1)
+        self.defaults = np.vstack([self.defaults, np.log(SMOOTHING / total).astype(np.float32)])
+        self.logs = np.concatenate([self.logs, np.log((counts + SMOOTHING) / total[languages]).astype(np.float32)])
+        self.at = np.concatenate([self.at, languages.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(rows, minlength=n))])
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        out = self.defaults[bisect_right(self.firsts, row) - 1].astype(np.float64)
+        held = slice(self.ends[row], self.ends[row + 1])
+        out[self.at[held]] = self.logs[held]
+        return out
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        return np.mean([self[row] for row in rows], axis=0)
+
+
 @dataclass(frozen=True)
 class Model:
     """Log frequencies by language, in order of `languages`: a row of the table for each word or n-gram."""
@@ -54,7 +85,7 @@ class Model:
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    table: Table
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -69,22 +100,25 @@ def build_model(counts: list[tuple[str, str, int]]) -> Model:
     words: dict[str, int] = {}
     for _, word, _ in counts:
         words.setdefault(word, len(words))
-    of_words = np.zeros((len(words), len(languages)))
-    for lang, word, n in counts:
-        of_words[words[word], place[lang]] += n
+    at, of = (np.array(x, np.int64) for x in ([words[w] for _, w, _ in counts], [place[lang] for lang, _, _ in counts]))
+    n = np.array([c for _, _, c in counts], np.float64)
+    table = Table(len(languages))
+    table.add_level(at, of, n, len(words))
+    first = np.searchsorted(at[(order := np.argsort(at, kind="stable"))], np.arange(len(words) + 1))
     known: dict[str, int] = {}
-    tables = [of_words]
     for size in range(1, LONGEST + 1):
-        first, pairs = len(known), []
+        before, gram_of, word_of = len(known), array("q"), array("q")
         for word, row in words.items():
-            pairs += [(known.setdefault(gram, len(known)) - first, row) for gram in grams(word, size)]
-        part = np.zeros((len(known) - first, len(languages)))
-        if pairs:
-            at, rows = np.array(pairs).T
-            np.add.at(part, at, of_words[rows])
-        tables.append(part)
-    logs = [np.log((t + SMOOTHING) / (t + SMOOTHING).sum(axis=0)) for t in tables if len(t)]
-    table = np.concatenate(logs) if logs else np.zeros((0, len(languages)))
+            for gram in grams(word, size):
+                gram_of.append(known.setdefault(gram, len(known)) - before)
+                word_of.append(row)
+        held = np.frombuffer(word_of, np.int64) if word_of else np.empty(0, np.int64)
+        sizes = first[held + 1] - first[held]
+        ends = np.cumsum(sizes)
+        entries = order[np.repeat(first[held] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        pairs, where = np.unique(np.repeat(np.frombuffer(gram_of, np.int64) if gram_of else held, sizes) * len(languages) + of[entries], return_inverse=True)
+        if len(pairs):
+            table.add_level(pairs // len(languages), pairs % len(languages), np.bincount(where, n[entries]), len(known) - before)
     return Model(languages, words, {gram: i + len(words) for gram, i in known.items()}, table)
 
 
@@ -101,7 +135,7 @@ class Scorer:
             return model.table[row]
         for n in range(LONGEST, 0, -1):
             if known := [row for g in grams(word, n) if (row := model.grams.get(g)) is not None]:
-                return model.table[known].mean(axis=0)
+                return model.table.mean(known)
         return None
 
     def _learn(self, piece: str) -> int:
@@ -130,27 +164,22 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
 
 
-def training_counts(
-    df: DataFrame, allowed: Column, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs: int = DOCS_PER_LANGUAGE, words: int = WORDS_PER_LANGUAGE
-) -> DataFrame:
-    """(lang, word, n): the commonest words of the bounded sample of each language."""
+def training_counts(df: DataFrame, allowed: Column, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """(lang, word, n): the words of the bounded sample of each language."""
     labelled = df.where(allowed & F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
-    shares = F.create_map(*[F.lit(x) for row in sizes for x in (row[label], docs / row["n"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
-    chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = labelled.where(chance < F.try_element_at(shares, F.col(label)))
-    found = picked.select(F.col(label).alias("lang"), F.col(text).alias("_text")).select(
-        "lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    )
-    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    return ranked.where(F.col("_rank") <= words).select("lang", "word", "n")
+    narrow = labelled.select(F.col(label).alias("lang"), F.col(text).alias("body"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("place"))
+    sizes = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    chance = F.col("place") / F.lit(float(1 << 30)) < F.lit(float(docs)) / F.col("docs")
+    picked = narrow.join(F.broadcast(sizes), "lang").where(chance).select("lang", "body")
+    found = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def train(df: DataFrame, allowed: Column | None = None, **options) -> Model:
     """Fits on the rows of `df` that `allowed` admits; the model, of bounded size, comes to the driver."""
     counts = training_counts(df, F.lit(True) if allowed is None else allowed, **options)
-    return build_model([(r["lang"], r["word"], r["n"]) for r in counts.collect()])
+    table = counts.toArrow()
+    return build_model([*zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True)])
 
 
 def identify(
