@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from vecspark.llm import common, langid, lsh_forest, mixing, oracle, quality, queries, sharding
@@ -238,3 +240,55 @@ def test_recall_of_nearest(spark):
         scores[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
     assert len(got) == 200 and hit / (200 * 20) >= 0.95
+
+
+def plain_language(counts, text):
+    """Words first, else the mean over the longest known n-grams, written down anew."""
+    languages = sorted({lang for lang, _, _ in counts})
+    levels = [{}, {}, {}, {}, {}]
+    for lang, word, n in counts:
+        for size in range(5):
+            framed = f" {word} " if size > 1 else word
+            for key in [word] if size == 0 else [framed[i : i + size] for i in range(len(framed) - size + 1)]:
+                levels[size].setdefault(key, {}).setdefault(lang, 0)
+                levels[size][key][lang] += n
+
+    def log(size, key, lang):
+        total = sum(x.get(lang, 0) for x in levels[size].values())
+        return math.log((levels[size][key].get(lang, 0) + 0.5) / (total + 0.5 * len(levels[size])))
+
+    cache = {}
+    sums, n = dict.fromkeys(languages, 0.0), 0
+    for word in regex.findall(r"\p{L}+", (text or "").lower()):
+        if word not in cache:
+            keys = [(0, word)] if word in levels[0] else []
+            for size in (4, 3, 2, 1):
+                framed = f" {word} " if size > 1 else word
+                keys = keys or [(size, g) for i in range(len(framed) - size + 1) if (g := framed[i : i + size]) in levels[size]]
+            cache[word] = {lang: sum(log(*k, lang) for k in keys) / len(keys) for lang in languages} if keys else None
+        if cache[word]:
+            n += 1
+            for lang in languages:
+                sums[lang] += cache[word][lang]
+    if not regex.search(r"\p{L}", text or ""):
+        return "und", 0.0
+    scaled = {lang: s / max(1, n) * min(20, max(1, n)) for lang, s in sums.items()}
+    top = max(scaled.values())
+    best = min(lang for lang in languages if scaled[lang] == top)
+    return best, 1.0 / sum(math.exp(x - top) for x in scaled.values())
+
+
+def test_language_equals_a_plain_scorer(spark, odd, odd_rows, documents):
+    some = spark.createDataFrame(odd_rows[8:20], "doc_id long, text string, lang string, source string, n_chars long")
+    for learnt in (some, documents.where("length(text) < 400").limit(60)):
+        counts = [tuple(r) for r in langid.training_counts(learnt, F.lit(True)).collect()]
+        for r in langid.identify(odd, langid.build_model(counts)).collect():
+            lang, score = plain_language(counts, r["text"])
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-5)
+
+
+def test_all_words_of_the_sample_are_kept(spark):
+    words = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(40_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "xx"), (2, "other words", "yy")], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.words) == 40_002 and len(model.table.logs) < 40_002 + 2 * len(model.grams)
