@@ -25,6 +25,7 @@ from array import array
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +71,23 @@ class Table:
 
     def __getitem__(self, row: int) -> np.ndarray:
         out = self.defaults[bisect_right(self.firsts, row) - 1].astype(np.float64)
-        held = slice(self.ends[row], self.ends[row + 1])
-        out[self.at[held]] = self.logs[held]
+        begin, end = self.ends[row : row + 2]
+        out[self.at[begin:end]] = self.logs[begin:end]
         return out
 
-    def mean(self, rows: list[int]) -> np.ndarray:
-        return np.mean([self[row] for row in rows], axis=0)
+    def means(self, groups: list[list[int]], levels: list[int]) -> np.ndarray:
+        """The mean of each group of rows, all rows of a group being of its level."""
+        lengths = np.fromiter(map(len, groups), np.int64, len(groups))
+        rows = np.fromiter(chain.from_iterable(groups), np.int64, int(lengths.sum()))
+        begin = self.ends[rows]
+        sizes = self.ends[rows + 1] - begin
+        held = np.arange(int(sizes.sum())) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+        shape = (len(groups), self.defaults.shape[1])
+        place = np.repeat(np.repeat(np.arange(len(groups)), lengths), sizes) * shape[1] + self.at[held]
+        sums = np.bincount(place, self.logs[held], minlength=shape[0] * shape[1]).reshape(shape)
+        counts = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape)
+        share = lengths[:, None]
+        return self.defaults[levels] * (1.0 - counts / share) + sums / share
 
 
 @dataclass(frozen=True)
@@ -129,26 +141,37 @@ class Scorer:
         self.model, self.known = model, {}
         self.sums = np.zeros((1 << 12, len(model.languages) + 1))
 
-    def word(self, word: str) -> np.ndarray | None:
-        model = self.model
-        if (row := model.words.get(word)) is not None:
-            return model.table[row]
+    def _rows(self, word: str) -> tuple[int, list[int]]:
+        """The level and rows that stand for a word."""
+        if (row := self.model.words.get(word)) is not None:
+            return 0, [row]
+        get = self.model.grams.get
         for n in range(LONGEST, 0, -1):
-            if known := [row for g in grams(word, n) if (row := model.grams.get(g)) is not None]:
-                return model.table.mean(known)
-        return None
+            if known := [row for g in grams(word, n) if (row := get(g)) is not None]:
+                return n, known
+        return 0, []
+
+    def word(self, word: str) -> np.ndarray | None:
+        level, rows = self._rows(word)
+        return self.model.table.means([rows], [level])[0] if rows else None
 
-    def _learn(self, piece: str) -> int:
-        at = len(self.known)
-        if at == len(self.sums):
+    def _learn(self, pieces: list[str]) -> None:
+        at, n = len(self.known), len(pieces)
+        while at + n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[at] = 0
-        for word in _LETTERS.findall(piece):
-            if (found := self.word(word)) is not None:
-                self.sums[at, :-1] += found
-                self.sums[at, -1] += 1
-        self.known[piece] = at
-        return at
+        self.sums[at : at + n] = 0
+        groups, levels, owners = [], [], []
+        for i, piece in enumerate(pieces, at):
+            self.known[piece] = i
+            for word in _LETTERS.findall(piece):
+                level, rows = self._rows(word)
+                if rows:
+                    groups.append(rows)
+                    levels.append(level)
+                    owners.append(i)
+        if groups:
+            np.add.at(self.sums[:, :-1], owners, self.model.table.means(groups, levels))
+            np.add.at(self.sums[:, -1], owners, 1.0)
 
     def predict(self, text: str) -> tuple[str, float]:
         if not self.model.languages or not _LETTERS.search(text):
@@ -156,8 +179,9 @@ class Scorer:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         pieces = Counter(text.lower().split())
-        known, learn = self.known.get, self._learn
-        at = [learn(p) if (i := known(p)) is None else i for p in pieces]
+        if new := [p for p in pieces if p not in self.known]:
+            self._learn(new)
+        at = [*map(self.known.__getitem__, pieces)]
         sums = np.fromiter(pieces.values(), np.float64, len(pieces)) @ self.sums[at]
         mean = sums[:-1] / max(1.0, sums[-1]) * min(float(EVIDENCE), max(1.0, sums[-1]))
         best = int(np.argmax(mean))
