@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vecspark.config import BIT_WIDTHS
 from vecspark.errors import (
@@ -63,45 +63,93 @@ def quantile_column(values: Column, bit_width: int) -> Column:
     return F.transform(exact, lambda x: x.cast("float"))
 
 
+#: Bits of a value's key that one pass tells apart.
+DIGITS = {np.dtype(np.float32): (16, 8, 8), np.dtype(np.float64): (16, 12, 12, 12, 12)}
+
+
+def _keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the values; both zeros are one."""
+    bits = (values + values.dtype.type(0)).view(f"u{values.itemsize}")
+    top = bits.dtype.type(1 << (8 * values.itemsize - 1))
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _values(keys: np.ndarray, kind: np.dtype) -> np.ndarray:
+    keys = keys.astype(f"u{kind.itemsize}")
+    top = keys.dtype.type(1 << (8 * kind.itemsize - 1))
+    return np.where(keys & top, keys ^ top, ~keys).view(kind)
+
+
+def _histogram(kind: np.dtype, prefixes: np.ndarray | None, known: int, digit: int):
+    """Counts (code, n) of the next `digit` bits of the keys that begin with one of the sorted `prefixes` of `known` bits; code -1: not finite."""
+    bits = 8 * kind.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((1 if prefixes is None else len(prefixes)) << digit, np.int64)
+        broken = 0
+        for batch in batches:
+            values = batch.column(0).flatten().drop_null().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+            finite = np.isfinite(values)
+            broken += len(values) - int(np.count_nonzero(finite))
+            keys = _keys(values if finite.all() else values[finite]).astype(np.uint64)
+            place = (keys >> np.uint64(bits - known - digit)) & np.uint64((1 << digit) - 1)
+            if prefixes is not None:
+                head = keys >> np.uint64(bits - known)
+                at = np.minimum(np.searchsorted(prefixes, head), len(prefixes) - 1)
+                wanted = prefixes[at] == head
+                place = (at[wanted].astype(np.uint64) << np.uint64(digit)) | place[wanted]
+            counts += np.bincount(place.astype(np.int64), minlength=len(counts))
+        codes = np.flatnonzero(counts)
+        if broken:
+            codes, n = np.append(codes, -1), np.append(counts[codes], broken)
+        else:
+            n = counts[codes]
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+
+    return run
+
+
 def train(df: DataFrame, bit_width: int, vector: str = "embedding") -> Codebook:
-    """Exact quantiles by rank: no task sorts or holds more than one range of values.
+    """Exact quantiles by rank, digit by digit: no value is shuffled or sorted.
 
-    Values are counted, dealt by ranges, and numbered within ranges; the
-    ranges' totals tell in which one the wanted ranks lie. At most two rows
-    per entry come to the driver.
+    A pass counts the values by the next bits of an order-preserving key,
+    among those whose earlier bits a wanted rank has, so that three scans of
+    single-precision vectors (five of double precision) find the values at all
+    ranks. Only counts move: at most two to the power of 17 numbers a task.
     """
-    values = df.select(F.explode(vector).alias("v")).where("v IS NOT NULL").select(F.col("v").cast("double").alias("v"))
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    dealt = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        totals = dealt.groupBy("part").agg(F.sum("n").alias("n"), F.max("v").alias("most"), F.min("v").alias("least")).orderBy("part").collect()
-        if not totals:
-            raise InsufficientTrainingData("no values")
-        if not (np.isfinite(totals[-1]["most"]) and np.isfinite(totals[0]["least"])):
+    kind = np.dtype(np.float64 if df.schema[vector].dataType.elementType.typeName() == "double" else np.float32)
+    vectors = df.select(vector).where(F.col(vector).isNotNull())
+    prefixes: np.ndarray | None = None
+    ranks = prefix_of = before = None
+    known = 0
+    for digit in DIGITS[kind]:
+        found = vectors.mapInArrow(_histogram(kind, prefixes, known, digit), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        codes, n = found["code"].to_numpy(), found["n"].to_numpy()
+        if (codes < 0).any():
             raise NonFiniteValue("training values must be finite")
-        total = sum(row["n"] for row in totals)
-        places = np.array(fractions(bit_width)) * (total - 1)
-        ranks = sorted({int(r) for p in places for r in (np.floor(p), np.ceil(p))})
-        before, offset = {}, 0
-        for row in totals:
-            before[row["part"]] = offset
-            offset += row["n"]
-        starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + starts[F.col("part")]
-        wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
-        numbered = dealt.withColumn("upto", upto)
-        if total > 1:
-            # Rows between neighbouring places are passed over before the exact test.
-            step = (total - 1) / (len(places) - 1)
-            after = (F.floor((F.col("upto") - F.col("n") - 1) / step) + 1) * step
-            numbered = numbered.where((after < F.col("upto") + 1e-3) | (F.col("upto") == F.col("n")))
-        held = F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
-        found = numbered.select("v", held.alias("ranks")).where(F.size("ranks") > 0).collect()
-    finally:
-        dealt.unpersist()
-    at = {r: row["v"] for row in found for r in row["ranks"]}
-    low = np.array([at[int(np.floor(p))] for p in places])
-    high = np.array([at[int(np.ceil(p))] for p in places])
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        upto = np.cumsum(n)
+        if ranks is None:
+            if not len(n):
+                raise InsufficientTrainingData("no values")
+            total = int(upto[-1])
+            places = np.array(fractions(bit_width)) * (total - 1)
+            ranks = np.unique(np.concatenate([np.floor(places), np.ceil(places)]).astype(np.int64))
+            prefix_of, before = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+            first = np.zeros(1, np.int64)
+        else:
+            first = np.concatenate([[0], upto])[np.searchsorted(codes, np.arange(len(prefixes)) << digit)]
+        # Where each rank falls among the codes of its prefix.
+        at = np.searchsorted(upto, first[prefix_of] + ranks - before, side="right")
+        before += upto[at] - n[at] - first[prefix_of]
+        heads = codes[at].astype(np.uint64) & np.uint64((1 << digit) - 1)
+        if prefixes is not None:
+            heads |= prefixes[prefix_of] << np.uint64(digit)
+        known += digit
+        prefixes, prefix_of = np.unique(heads, return_inverse=True)
+    values = _values(prefixes[prefix_of], kind).astype(np.float64)
+    low, high = (values[np.searchsorted(ranks, x(places).astype(np.int64))] for x in (np.floor, np.ceil))
     return from_quantiles(bit_width, low + (high - low) * (places - np.floor(places)))
 
 

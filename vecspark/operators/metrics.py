@@ -34,21 +34,30 @@ def pair_scores(rows: DataFrame, id_col: str = "vec_id", original: str = "embedd
     )
 
 
+def _row_moments(x: np.ndarray, y: np.ndarray, kept: np.ndarray) -> list[tuple[int, float, float, float, float, float]]:
+    """Moments of each row of scores over the places that are `kept`."""
+    n = kept.sum(axis=1)
+    x, y = np.where(kept, x, 0.0), np.where(kept, y, 0.0)
+    mx, my = x.sum(axis=1) / np.maximum(n, 1), y.sum(axis=1) / np.maximum(n, 1)
+    dx, dy = np.where(kept, x - mx[:, None], 0.0), np.where(kept, y - my[:, None], 0.0)
+    return [*zip(n.tolist(), mx.tolist(), my.tolist(), (dx * dx).sum(axis=1).tolist(), (dy * dy).sum(axis=1).tolist(), (dx * dy).sum(axis=1).tolist(), strict=True)]
+
+
 def _moments(x: np.ndarray, y: np.ndarray) -> tuple[int, float, float, float, float, float]:
     mx, my = float(x.mean()), float(y.mean())
     x, y = x - mx, y - my
     return len(x), mx, my, float(x @ x), float(y @ y), float(x @ y)
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, asks, id, original, restored), a shard's rows before its queries, to moments of the two scores."""
+def _scored(batches: Iterator[pa.RecordBatch], per_query: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, asks, id, original, restored), a shard's rows before its queries, to moments of the two scores, by query or block of queries."""
     shard: int | None = None
     stored: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
         bounds = [0, *cuts.tolist(), len(shards)]
-        out = []
+        out, names_out = [], []
         for a, b in zip(bounds, bounds[1:], strict=False):
             if a == b:
                 continue
@@ -65,14 +74,18 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     others = ids[own, None] != names
                     if others.any():
                         x, y = original[own] @ before.T, restored[own] @ after.T
-                        out.append(_moments(np.nan_to_num(x[others], nan=0.0), np.nan_to_num(y[others], nan=0.0)))
+                        x, y = np.nan_to_num(x, nan=0.0), np.nan_to_num(y, nan=0.0)
+                        out += _row_moments(x, y, others) if per_query else [_moments(x[others], y[others])]
+                        names_out += ids[own].tolist() if per_query else [0]
         if out:
             n, *rest = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in rest)], names=["n", "mx", "my", "xx", "yy", "xy"])
+            columns = [pa.array(names_out, pa.int64()), pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in rest)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "n", "mx", "my", "xx", "yy", "xy"])
 
 
-def query_correlation(rows: DataFrame, is_query: Column, n: int, width: int, id_col: str = "vec_id", original: str = "embedding", restored: str = "vector") -> DataFrame:
-    """One row: rho of the cosines of each query with every other row, before and after, for `n` rows of length `width`.
+def query_correlation(rows: DataFrame, is_query: Column, n: int, width: int, id_col: str = "vec_id", original: str = "embedding", restored: str = "vector", per_query: bool = False) -> DataFrame:
+    """One row, rho of the cosines of each query with every other row, before and after, for `n` rows of length `width`;
+    or (query_id, rho) for each query.
 
     The rows are dealt to shards, every shard sees all queries, in blocks, and
     only moments leave it. As `correlation`, 0 for a constant side.
@@ -89,12 +102,13 @@ def query_correlation(rows: DataFrame, is_query: Column, n: int, width: int, id_
     everywhere = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: place(s, True))
     placed = named.select(F.explode(F.when(F.col("is_query"), F.concat(stored, everywhere)).otherwise(stored)).alias("at"), "id", "o", "r")
     dealt = placed.select("at.shard", "at.asks", "id", "o", "r").repartition(shards, "shard").sortWithinPartitions("shard", "asks")
-    found = dealt.mapInArrow(_scored, "n long, mx double, my double, xx double, yy double, xy double")
+    found = dealt.mapInArrow(lambda batches: _scored(batches, per_query), "query_id long, n long, mx double, my double, xx double, yy double, xy double")
     total = lambda within, a, b: F.sum(within) + F.sum(F.col("n") * F.col(a) * F.col(b)) - F.sum(F.col("n") * F.col(a)) * F.sum(F.col("n") * F.col(b)) / F.sum("n")
-    sums = found.agg(total("xx", "mx", "mx").alias("xx"), total("yy", "my", "my").alias("yy"), total("xy", "mx", "my").alias("xy"))
+    keys = ["query_id"] if per_query else []
+    sums = found.where("n > 0").groupBy(*keys).agg(total("xx", "mx", "mx").alias("xx"), total("yy", "my", "my").alias("yy"), total("xy", "mx", "my").alias("xy"))
     spread = F.sqrt("xx") * F.sqrt("yy")
     value = F.when(spread > 0, F.try_divide(F.col("xy"), spread))
-    return sums.select(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0)))).alias("rho"))
+    return sums.select(*keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0)))).alias("rho"))
 
 
 def recall(true: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from vecspark.functions import exprs
 from vecspark.operators import baselines, metrics, wire
 from vecspark.operators.codebook import Codebook, fractions, quantile_column, train
 from vecspark.operators.codec import Codec, compress, decompress, round_trip, split_rejects
+from vecspark.operators.codec import quantize as quantize_values
 from vecspark.operators.rotation import rotation
 from vecspark.operators.search import top_k, top_k_many, upsert
 from vecspark.plans import twins
@@ -254,25 +255,30 @@ def serialize_sizes(spark, d):
     return rows.select("vec_id", "bit_width", "residual", size.alias("size_bytes"), (71 + size + F.when(F.col("residual"), 4).otherwise(0)).alias("record_bytes"))
 
 
-@query("level1_records", "SELECT vec_id, 455 - 384 + 32 AS record_bytes, true AS same FROM embeddings")
+_LITTLE = "lpad(lower(to_hex({v} & 255)), 2, '0') || lpad(lower(to_hex(({v} >> 8) & 255)), 2, '0') || lpad(lower(to_hex(({v} >> 16) & 255)), 2, '0') || lpad(lower(to_hex(({v} >> 24) & 255)), 2, '0')"
+
+
+@query(
+    "level1_records",
+    f"""WITH {twins.quantized(4)}, p AS (SELECT vec_id, list_transform(range({DIMENSION // 2}), lambda b: q[b * 2 + 1] | (q[b * 2 + 2] << 4)) AS packed FROM q)
+    SELECT vec_id, '01' || lower(hex('{CodecConfig(4, SEED, DIMENSION, False).config_hash}')) || {_LITTLE.format(v=DIMENSION)} || '04'
+      || array_to_string(list_transform(packed, lambda b: lpad(lower(to_hex(b)), 2, '0')), '') || '00' AS record, true AS same FROM p""",
+)
 def level1_records(spark, d):
-    """Records written and parsed again, byte by byte, for 4-bit codes without residuals."""
+    """The bytes of every record of 4-bit codes without residuals, and whether they parse to the record again."""
     rows = embeddings(spark, d).select("vec_id", "embedding")
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sizes, same = [], []
-            for c in batch.column(1).to_pylist():
-                record = wire.Record(c["config_hash"], c["dimension"], c["bit_width"], c["indices"], c["residual"])
-                data = wire.encode(record)
-                sizes.append(len(data))
-                same.append(wire.decode(data) == record)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(same)], names=["vec_id", "record_bytes", "same"])
+            records = [wire.Record(c["config_hash"], c["dimension"], c["bit_width"], c["indices"], c["residual"]) for c in batch.column(1).to_pylist()]
+            data = [wire.encode(r) for r in records]
+            same = [wire.decode(x) == r for x, r in zip(data, records, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.hex() for x in data]), pa.array(same)], names=["vec_id", "record", "same"])
 
     coded = compress(rows, codec(rows, 4, False)).select("vec_id", "compressed")
-    return coded.mapInArrow(check, "vec_id long, record_bytes int, same boolean")
+    return coded.mapInArrow(check, "vec_id long, record string, same boolean")
 
 
 # Scalar functions
@@ -348,8 +354,9 @@ for _bits, _residual in CODECS:
 
 # Quality
 
-_PAIRS = f"""pairs AS (SELECT {twins.cosine('a.embedding', 'b.embedding')} AS x, {twins.cosine('a.vector', 'b.vector')} AS y
-  FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE a.vec_id % {STRIDE} = 0 AND b.vec_id % {STRIDE} = 0)"""
+#: Every stride-th vector as a query against all other rows, before and after.
+_PAIRS = f"""pairs AS (SELECT a.vec_id AS query_id, {twins.cosine('a.embedding', 'b.embedding')} AS x, {twins.cosine('a.vector', 'b.vector')} AS y
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {STRIDE} = 0)"""
 
 for _bits, _residual in CODECS:
     _name = f"bw{_bits}{'_residual' if _residual else ''}"
@@ -358,8 +365,14 @@ for _bits, _residual in CODECS:
     @query(f"pearson_rho_{_name}", f"WITH {_v}, {_PAIRS} SELECT {twins.rounded('corr(x, y)')} AS rho FROM pairs")
     def pearson_rho(spark, d, bits=_bits, residual=_residual):
         rows = embeddings(spark, d).select("vec_id", "embedding")
-        pairs = metrics.pair_scores(round_trip(rows, codec(rows, bits, residual)), stride=STRIDE)
-        return pairs.agg(rounded(metrics.correlation(F.col("original"), F.col("restored"))).alias("rho"))
+        rho = metrics.query_correlation(round_trip(rows, codec(rows, bits, residual)), F.col("vec_id") % STRIDE == 0, rows.count(), DIMENSION)
+        return rho.select(rounded(F.col("rho")).alias("rho"))
+
+    @query(f"mean_rho_{_name}", f"WITH {_v}, {_PAIRS} SELECT {twins.rounded('avg(r)')} AS rho FROM (SELECT corr(x, y) AS r FROM pairs GROUP BY query_id)")
+    def mean_rho(spark, d, bits=_bits, residual=_residual):
+        rows = embeddings(spark, d).select("vec_id", "embedding")
+        each = metrics.query_correlation(round_trip(rows, codec(rows, bits, residual)), F.col("vec_id") % STRIDE == 0, rows.count(), DIMENSION, per_query=True)
+        return each.agg(rounded(F.avg("rho")).alias("rho"))
 
     @query(
         f"recall_at_10_{_name}",
@@ -387,11 +400,29 @@ for _bits, _residual in CODECS:
     SELECT {twins.rounded('avg(len(list_intersect(t, f))::DOUBLE / len(list_distinct(list_concat(t, f))))')} AS jaccard FROM a JOIN b USING (query_id)""",
 )
 def jaccard_at_10_bw4(spark, d):
+    """Queries as they are against restored rows."""
     rows = embeddings(spark, d).select("vec_id", "embedding")
     found = _neighbours(round_trip(rows, codec(rows, 4, False)), rows, STRIDE, "vector")
     return metrics.jaccard(_neighbours(rows, rows, STRIDE), found).select(rounded(F.col("jaccard")).alias("jaccard"))
 
 
+_RESTORED_PAIRS = f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {twins.cosine('a.vector', 'b.vector')} AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {STRIDE} = 0"
+
+
+@query(
+    "jaccard_at_10_bw4_compressed_queries",
+    f"""WITH {twins.restored(4, False)}, {twins.neighbours('embeddings', 'embedding', K, STRIDE, 'near')},
+    got AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_RESTORED_PAIRS})) WHERE rank <= {K}),
+    a AS (SELECT query_id, list(vec_id) AS t FROM near GROUP BY query_id), b AS (SELECT query_id, list(vec_id) AS f FROM got GROUP BY query_id)
+    SELECT {twins.rounded('avg(len(list_intersect(t, f))::DOUBLE / len(list_distinct(list_concat(t, f))))')} AS jaccard FROM a JOIN b USING (query_id)""",
+)
+def jaccard_at_10_bw4_compressed_queries(spark, d):
+    """Queries and rows both restored."""
+    rows = embeddings(spark, d).select("vec_id", "embedding")
+    restored = round_trip(rows, codec(rows, 4, False)).select("vec_id", F.col("vector").alias("embedding"))
+    return metrics.jaccard(_neighbours(rows, rows, STRIDE), _neighbours(restored, restored, STRIDE)).select(rounded(F.col("jaccard")).alias("jaccard"))
+
+
 @query(
     "compression_ratio_report",
     """SELECT b::INTEGER AS bit_width, r AS residual, (sum(4 * len(embedding))::DOUBLE / sum(ceil(len(embedding) * b / 8.0) + CASE WHEN r THEN 2 * len(embedding) ELSE 0 END)) AS ratio
@@ -452,8 +483,9 @@ def point_lookup(spark, d):
 
 # Corpus changes
 
-_OLD = "SELECT vec_id, label, vec_id AS insert_seq FROM embeddings WHERE vec_id < 300"
-_NEW = "SELECT vec_id, label + 100 AS label, vec_id - 200 AS insert_seq FROM embeddings WHERE vec_id >= 200"
+#: All rows are stored already; the new ones have the same ids moved up by half the table, so half of them replace a row and half are new.
+_OLD = "SELECT vec_id, label, vec_id AS insert_seq FROM embeddings"
+_NEW = "SELECT vec_id + (SELECT count(*) // 2 FROM embeddings) AS vec_id, label + 100 AS label, vec_id AS insert_seq FROM embeddings"
 
 
 @query(
@@ -463,8 +495,9 @@ _NEW = "SELECT vec_id, label + 100 AS label, vec_id - 200 AS insert_seq FROM emb
 )
 def upsert_latest_wins(spark, d):
     rows = embeddings(spark, d).select("vec_id", "label")
-    old = rows.where("vec_id < 300").withColumn("insert_seq", F.col("vec_id"))
-    new = rows.where("vec_id >= 200").select("vec_id", (F.col("label") + 100).alias("label"), (F.col("vec_id") - 200).alias("insert_seq"))
+    half = rows.select(F.floor(F.count(F.lit(1)) / 2).alias("half")).scalar()
+    old = rows.withColumn("insert_seq", F.col("vec_id"))
+    new = rows.select((F.col("vec_id") + half).alias("vec_id"), (F.col("label") + 100).alias("label"), F.col("vec_id").alias("insert_seq"))
     return upsert(old, new)
 
 
@@ -519,6 +552,19 @@ _FOUR = f"[{', '.join(f'{c}::FLOAT' for c in LINEITEM)}]"
     FROM (SELECT {twins.nearest(_FOUR)} AS q FROM lineitem, cb) GROUP BY q""",
 )
 def quantize_lineitem_4d(spark, d):
+    """Codes of four coordinates make one number, which is what is counted."""
     items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.array(*[F.col(c).cast("float") for c in LINEITEM]).alias("v"))
-    book = entries(train(items, 4, "v"))
-    return items.select(joined(exprs.quantize(F.col("v"), book)).alias("indices")).groupBy("indices").agg(F.count(F.lit(1)).alias("n"))
+    book = train(items, 4, "v").array
+
+    def coded(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            codes = quantize_values(batch.column(0).flatten().to_numpy(zero_copy_only=False), book).reshape(-1, 4).astype(np.int32)
+            found, n = np.unique(codes @ np.array([1, 16, 256, 4096], np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
+
+    counts = items.mapInArrow(coded, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    digits = [F.shiftright("code", 4 * i).bitwiseAND(F.lit(15)).cast("string") for i in range(4)]
+    return counts.select(F.concat_ws(",", *digits).alias("indices"), "n")
