@@ -201,3 +201,18 @@ def test_report_correlates_every_row(spark):
     report = quality_report(df, 64, query_stride=200).where("method IN ('fp32', 'uint8')").select("method", "rho")
     rho = {r["method"]: r["rho"] for r in report.collect()}
     assert rho["fp32"] == pytest.approx(1.0, abs=1e-12) and 0.99 < rho["uint8"] < 1.0 - 1e-7
+
+
+def test_an_event_lists_all_ids(spark, book):
+    n = 100_001
+    rows = spark.range(n).selectExpr("concat('v', id) AS vec_id", "id AS ordinal").withColumn("vector", F.array_repeat(F.lit(0.5).cast("float"), DIMENSION))
+    corpus = make(spark, book).insert_batch(rows)
+    event = corpus.events[1]
+    assert event.count == n and corpus.event_ids().count() == n
+    assert event.vector_ids == tuple(f"v{i}" for i in range(n))
+    listed = corpus.events_frame().where("type = 'inserted'").select(F.size("vector_ids"), F.col("vector_ids")[n - 1]).first()
+    assert tuple(listed) == (n, f"v{n - 1}")
+
+
+def test_an_empty_index_finds_nothing(spark):
+    assert SearchIndex().search([1.0, 2.0], 3).collect() == []

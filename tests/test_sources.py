@@ -141,3 +141,45 @@ def test_command_line(spark, values, tmp_path, capsys):
     (tmp_path / "bad").write_bytes(b"TQCV")
     assert run("verify", "--input", tmp_path / "bad") == 4
     assert run("nothing") == 2
+
+
+@pytest.mark.parametrize("policy", ["compress", "passthrough", "fp16"])
+def test_the_command_line_reads_every_policy_back(spark, tmp_path, capsys, policy):
+    rng = np.random.default_rng(21)
+    vectors = rng.standard_normal((40, 8)).astype("<f4")
+    vectors.tofile(tmp_path / "in.f32")
+    vectors[3].tofile(tmp_path / "query.f32")
+    run = lambda *a: cli.main([*map(str, a)], spark)
+    names = ["--codebook", tmp_path / "book", "--config", tmp_path / "config"]
+    assert run("codec", "train", "--input", tmp_path / "in.f32", "--cols", 8, *names) == 0
+    assert run("corpus", "ingest", "--input", tmp_path / "in.f32", "--cols", 8, *names, "--output", tmp_path / "stored", "--policy", policy) == 0
+    assert run("corpus", "decompress", "--input", tmp_path / "stored", *names, "--output", tmp_path / "out") == 0
+    back = spark.read.format("f32").options(path=str(tmp_path / "out"), cols=8).load().collect()
+    got = np.array(sorted((r["vector"] for r in back)))
+    want = np.array(sorted(vectors.astype("<f2").astype("<f4").tolist() if policy == "fp16" else vectors.tolist()))
+    assert got.shape == want.shape and (policy == "compress" or np.array_equal(got, want))
+    capsys.readouterr()
+    assert run("corpus", "search", "--input", tmp_path / "stored", *names, "--query", tmp_path / "query.f32", "-k", 1) == 0
+    assert '"vec_id":"3"' in capsys.readouterr().out
+
+
+def test_a_failed_overwrite_keeps_the_old_data(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    old = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row long, vector array<float>")
+    write = lambda df: df.write.format("f32").mode("overwrite").option("path", folder).save()
+    read = lambda: sorted(r["vector"] for r in spark.read.format("f32").options(path=folder, cols=2).load().collect())
+    write(old)
+    broken = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "row long, vector array<float>").coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017
+        write(broken)
+    assert read() == [[1.0, 2.0], [3.0, 4.0]]
+    write(old.where("row = 1"))
+    assert read() == [[3.0, 4.0]] and len([x for x in (tmp_path / "m").iterdir() if x.name.startswith("part-")]) == 1
+
+
+def test_many_rows_as_npy(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id AS row", "array(cast(id AS float), cast(1 AS float)) AS vector").coalesce(1)
+    rows.write.format("f32").mode("overwrite").options(path=str(tmp_path / "n"), layout="npy").save()
+    (part,) = (tmp_path / "n").glob("*.npy")
+    assert np.array_equal(np.load(part)[:, 0], np.arange(3000, dtype="<f4"))
+    assert spark.read.format("f32").options(path=str(tmp_path / "n")).load().count() == 3000

@@ -65,17 +65,23 @@ def _train(spark, args) -> None:
 def _compress(spark, args) -> None:
     coded = compress(_matrix(spark, args.input, args), _codec(args), "vector", policy=args.policy)
     ordered = coded.select(F.col("row").alias("record"), "compressed")
-    ordered.write.format("tqcv").mode("overwrite").option("path", args.output).save()
+    metadata = json.dumps({"policy": args.policy})
+    ordered.write.format("tqcv").mode("overwrite").option("path", args.output).option("metadata", metadata).save()
 
 
-def _decompress(spark, args) -> None:
+def _restored(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """(record, vector) of a corpus, by the policy that its header names."""
     stored = spark.read.format("tqcv").option("path", args.input).load()
-    _write_matrix(decompress(stored, _codec(args)).select("record", "vector"), args.output)
+    policy = json.loads(binary.corpus_metadata(args.input) or b"{}").get("policy", "compress")
+    return decompress(stored, _codec(args), policy=policy).select("record", "vector")
+
+
+def _decompress(spark, args) -> None:
+    _write_matrix(_restored(spark, args), args.output)
 
 
 def _search(spark, args) -> None:
-    stored = spark.read.format("tqcv").option("path", args.input).load()
-    rows = decompress(stored, _codec(args)).select(F.col("record").cast("string").alias("vec_id"), "vector")
+    rows = _restored(spark, args).select(F.col("record").cast("string").alias("vec_id"), "vector")
     found = top_k(rows, binary.read_vector(args.query).tolist(), args.k, vector="vector")
     if args.format == "table":
         found.show(args.k, truncate=False)
@@ -101,7 +107,9 @@ def parser() -> argparse.ArgumentParser:
             found.add_argument(f"--{n}", required=True)
         found.add_argument("--rows", type=int)
         found.add_argument("--cols", type=int)
-        found.add_argument("--policy", choices=["compress", "passthrough", "fp16"], default="compress")
+        found.set_defaults(policy="compress")
+        if run is _compress:
+            found.add_argument("--policy", choices=["compress", "passthrough", "fp16"], default="compress")
         return found
 
     codec = commands.add_parser("codec").add_subparsers(dest="step", required=True)

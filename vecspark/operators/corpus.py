@@ -9,9 +9,9 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.config import CodecConfig
@@ -21,27 +21,21 @@ from vecspark.operators.codebook import Codebook
 from vecspark.operators.codec import COMPRESSED, POLICIES, Codec, compress, decompress
 
 ENTRIES = f"vec_id string, compressed {COMPRESSED}, declared_dimension int, inserted_at_ns long, metadata map<string,variant>, insert_seq long"
-EVENTS = "corpus_id string, type string, vector_ids array<string>, count long, violation_type string, detail string, timestamp_ns long"
 
 
-#: Ids that an event lists at most; of larger batches it has the count, and the entries have the ids.
-LISTED = 100_000
-
-
-def _listed(rows: DataFrame) -> tuple[int, tuple[str, ...]]:
-    """The number of rows (vec_id, insert_seq), and their ids in order if they are few enough."""
-    count = rows.count()
-    return count, tuple(r["vec_id"] for r in rows.orderBy("insert_seq").collect()) if count <= LISTED else ()
+def _in_order() -> Column:
+    """The ids of rows (vec_id, insert_seq) in the order of the latter."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("insert_seq", "vec_id"))), lambda x: x["vec_id"])
 
 
 @dataclass(frozen=True)
 class Event:
-    """One entry of the log. `type` is created, inserted, decompressed or violation."""
+    """One entry of the log. `type` is created, inserted, decompressed or violation; `ids` are the rows (vec_id, insert_seq) that an insertion added."""
 
     corpus_id: str
     type: str
     timestamp_ns: int
-    vector_ids: tuple[str, ...] = ()
+    ids: DataFrame | None = field(default=None, repr=False, compare=False)
     count: int = 0
     violation_type: str | None = None
     detail: str | None = None
@@ -54,6 +48,11 @@ class Event:
         "violation": "CompressionPolicyViolationDetected",
     }
 
+    @property
+    def vector_ids(self) -> tuple[str, ...]:
+        """All ids in order, brought to the driver; `ids` has them as rows."""
+        return () if self.ids is None else tuple(r["vec_id"] for r in self.ids.orderBy("insert_seq").toLocalIterator())
+
     def to_json(self, policy: str) -> str:
         fields: dict = {"type": self.NAMES[self.type], "corpusId": self.corpus_id}
         if self.type == "created":
@@ -89,7 +88,7 @@ class Corpus:
     def config(self) -> CodecConfig:
         return self.codec.config
 
-    def _with_event(self, kind: str, entries: DataFrame, ids: tuple[str, ...] = (), count: int = 0, **more) -> Corpus:
+    def _with_event(self, kind: str, entries: DataFrame, ids: DataFrame | None = None, count: int = 0, **more) -> Corpus:
         return replace(self, entries=entries, events=(*self.events, Event(self.corpus_id, kind, self.clock(), ids, count, **more)))
 
     def _faults(self, rows: DataFrame) -> DataFrame:
@@ -134,8 +133,8 @@ class Corpus:
         return rows.select(F.col("vec_id").cast("string").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector"), "metadata", "ordinal")
 
     def _appended(self, rows: DataFrame) -> Corpus:
-        count, ids = _listed(rows.select("vec_id", F.col("ordinal").alias("insert_seq")))
-        if not count:
+        ids = rows.select("vec_id", F.col("ordinal").alias("insert_seq"))
+        if not (count := ids.count()):
             return self
         after = F.coalesce(self.entries.select(F.max("insert_seq").alias("m")).scalar(), F.lit(-1)) + 1
         new = compress(rows, self.codec, "vector", "compressed", self.policy).select(
@@ -161,7 +160,8 @@ class Corpus:
             F.lit(None).cast("map<string,variant>").alias("metadata"),
             "insert_seq",
         )
-        count, ids = _listed(rows.select("vec_id", "insert_seq"))
+        ids = rows.select("vec_id", "insert_seq")
+        count = ids.count()
         return self._with_event("inserted", self.entries.unionByName(new), ids, count) if count else self
 
     def get(self, vec_id: str) -> DataFrame:
@@ -207,8 +207,21 @@ class Corpus:
         return replace(self, events=()), self.events
 
     def events_frame(self) -> DataFrame:
-        rows = [(e.corpus_id, e.type, list(e.vector_ids), e.count, e.violation_type, e.detail, e.timestamp_ns) for e in self.events]
-        return self.entries.sparkSession.createDataFrame(rows, EVENTS)
+        """The log as rows; an insertion's ids are one array."""
+        spark = self.entries.sparkSession
+        rows = [(i, e.corpus_id, e.type, e.count, e.violation_type, e.detail, e.timestamp_ns) for i, e in enumerate(self.events)]
+        log = spark.createDataFrame(rows, "event int, corpus_id string, type string, count long, violation_type string, detail string, timestamp_ns long")
+        listed = self.event_ids().groupBy("event").agg(_in_order().alias("vector_ids"))
+        none = F.array().cast("array<string>")
+        return log.join(listed, "event", "left").select("corpus_id", "type", F.coalesce("vector_ids", none).alias("vector_ids"), "count", "violation_type", "detail", "timestamp_ns")
+
+    def event_ids(self) -> DataFrame:
+        """(event, vec_id, insert_seq): all ids of all insertions in the log, a row each, by the event's place in it."""
+        found = self.entries.sparkSession.createDataFrame([], "event int, vec_id string, insert_seq long")
+        for i, event in enumerate(self.events):
+            if event.ids is not None:
+                found = found.unionAll(event.ids.select(F.lit(i).alias("event"), "vec_id", F.col("insert_seq").cast("long")))
+        return found
 
     def save(self, folder: str) -> Corpus:
         """Writes a snapshot as Parquet and returns the corpus that reads it."""

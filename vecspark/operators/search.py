@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -201,7 +201,7 @@ class SearchIndex(SearchBackend):
         if k < 1:
             raise InvalidTopK(f"k must be at least 1, not {k}")
         if self.rows is None:
-            raise InvalidTopK("the index is empty")
+            return SparkSession.active().createDataFrame([], "vec_id string, score double")
         if len(query) != self.dimension:
             raise DimensionMismatch(f"{self.dimension} expected, got {len(query)}")
         return top_k(self.rows, query, k, "vec_id", "vector")

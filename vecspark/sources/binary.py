@@ -17,6 +17,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +33,10 @@ from vecspark.config import CodecConfig
 INDEX = "_files.json"
 #: Rows or records in a task, unless the option rows_per_task says otherwise.
 ROWS_PER_TASK = 65_536
+#: Rows that a writer holds.
+WRITTEN = 1024
+#: Fixed value: bytes of a .npy header, a multiple of 64.
+NPY_HEAD = 128
 #: Fixed values of the codebook file.
 CODEBOOK_MAGIC = b"TQCB"
 _CODEBOOK = struct.Struct("<4sBBHI")
@@ -63,27 +68,51 @@ class _FolderWriter(DataSourceWriter):
     suffix = ""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.folder, self.options = options["path"], options
+        self.folder, self.options, self.overwrite = options["path"], options, overwrite
         os.makedirs(self.folder, exist_ok=True)
-        if overwrite:
-            Path(self.folder, INDEX).unlink(missing_ok=True)
 
-    def body(self, rows: list) -> bytes:
-        raise NotImplementedError
+    def head(self, rows: int, columns: int) -> bytes:
+        """What a file of so many rows begins with; as long for any number of them."""
+        return b""
 
     def write(self, iterator: Iterator) -> _Part:
-        rows = list(iterator)
+        """Vectors in batches; the beginning is put right once their number is known."""
         name = f"part-{uuid.uuid4().hex}{self.suffix}"
-        if rows:
-            Path(self.folder, name).write_bytes(self.body(rows))
-        return _Part(name, len(rows))
+        try:
+            count = self._written(Path(self.folder, name), iterator)
+        except BaseException:
+            Path(self.folder, name).unlink(missing_ok=True)
+            raise
+        return _Part(name, count)
+
+    def _written(self, path: Path, iterator: Iterator) -> int:
+        count, columns = 0, 0
+        with open(path, "wb") as file:
+            while some := [row["vector"] for row in islice(iterator, WRITTEN)]:
+                block = np.array(some, "<f4")
+                if not count:
+                    columns = block.shape[1]
+                    file.write(self.head(0, columns))
+                elif block.shape[1] != columns:
+                    raise LengthMismatch(f"{columns} values expected, got {block.shape[1]}")
+                file.write(block.tobytes())
+                count += len(block)
+            file.seek(0)
+            file.write(self.head(count, columns) if count else b"")
+        if not count:
+            path.unlink()
+        return count
 
     def commit(self, messages: list) -> None:
+        """The index changes at once; only then do the files go that an overwrite replaces."""
         index = Path(self.folder, INDEX)
         known = json.loads(index.read_text()) if index.exists() else []
+        new = [m.name for m in messages if m and m.rows]
         temporary = index.with_suffix(".new")
-        temporary.write_text(json.dumps(known + [m.name for m in messages if m and m.rows]))
+        temporary.write_text(json.dumps(new if self.overwrite else known + new))
         os.replace(temporary, index)
+        for name in known if self.overwrite else ():
+            Path(self.folder, name).unlink(missing_ok=True)
 
     def abort(self, messages: list) -> None:
         for message in messages:
@@ -128,19 +157,15 @@ class _MatrixReader(DataSourceReader):
 
 
 class _MatrixWriter(_FolderWriter):
-    def body(self, rows: list) -> bytes:
-        return np.array([row["vector"] for row in rows], "<f4").tobytes()
+    """Raw values."""
 
 
-class _NpyWriter(_MatrixWriter):
+class _NpyWriter(_FolderWriter):
     suffix = ".npy"
 
-    def body(self, rows: list) -> bytes:
-        from io import BytesIO
-
-        out = BytesIO()
-        np.save(out, np.array([row["vector"] for row in rows], "<f4"))
-        return out.getvalue()
+    def head(self, rows: int, columns: int) -> bytes:
+        described = f"{{'descr': '<f4', 'fortran_order': False, 'shape': ({rows}, {columns}), }}"
+        return b"\x93NUMPY\x01\x00" + struct.pack("<H", NPY_HEAD - 10) + described.ljust(NPY_HEAD - 11).encode() + b"\n"
 
 
 class MatrixSource(DataSource):
@@ -165,25 +190,18 @@ class _CorpusReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of records; only their lengths are read here."""
+        """Ranges of records, which are all as long as the header says; none is read here."""
         parts, before, step = [], 0, int(self.options.get("rows_per_task", ROWS_PER_TASK))
         for path in _files(self.options["path"]):
             with open(path, "rb") as file:
                 header, at = wire.read_header(file.read(wire.MAX_METADATA + 4096))
-                for n in range(header.count):
-                    if n % step == 0:
-                        parts.append(_Range(path, before + n, before + min(header.count, n + step), at))
-                    file.seek(at)
-                    prefix = file.read(4)
-                    if len(prefix) < 4:
-                        raise wire.Truncated("the file ends before its last record")
-                    (size,) = struct.unpack("<I", prefix)
-                    if size > header.record_limit:
-                        raise wire.TooLarge(f"record of {size} bytes")
-                    at += 4 + size
-                if at != os.path.getsize(path):
-                    raise LengthMismatch(f"{path} does not end with its last record")
-                before += header.count
+            size, held = 4 + header.record_limit, os.path.getsize(path) - at
+            if held < header.count * size:
+                raise wire.Truncated("the file ends before its last record")
+            if held > header.count * size:
+                raise LengthMismatch(f"{path} does not end with its last record")
+            parts += [_Range(path, before + n, before + min(header.count, n + step), at + n * size) for n in range(0, header.count, step)]
+            before += header.count
         return parts or [_Range("", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
@@ -194,6 +212,8 @@ class _CorpusReader(DataSourceReader):
             file.seek(part.begin)
             for number in range(part.first, part.last):
                 (size,) = struct.unpack("<I", file.read(4))
+                if size > header.record_limit:
+                    raise wire.TooLarge(f"record of {size} bytes")
                 r = header.admit(wire.decode(file.read(size)))
                 yield number, (r.indices, r.residual, r.config_hash, r.dimension, r.bit_width)
 
@@ -293,6 +313,15 @@ def read_config(path: str) -> CodecConfig:
     return CodecConfig(stored["bit_width"], int(stored["seed"]), stored["dimension"], stored["residual_enabled"])
 
 
+def corpus_metadata(path: str) -> bytes:
+    """What the writer of a corpus put into its header; nothing for an empty corpus."""
+    files = _files(path)
+    if not files:
+        return b""
+    with open(files[0], "rb") as file:
+        return wire.read_header(file.read(wire.MAX_METADATA + 4096))[0].metadata
+
+
 def verify(path: str) -> dict:
     """What a corpus, codebook or configuration file holds; raises if it is damaged."""
     data = Path(path).read_bytes()
