@@ -21,7 +21,6 @@ through, and columns named like a result are replaced.
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm.arrow import add_columns, kept_once, texts
-from vecspark.llm.common import fresh
+from vecspark.llm.common import drop, fresh, written
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 2000
@@ -105,33 +104,33 @@ def grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def build_model(counts: list[tuple[str, str, int]]) -> Model:
-    """From (language, word, count)."""
+def build_model(counts: list[tuple[str, str, int]], gram_counts: list[tuple[int, str, str, int]] | None = None) -> Model:
+    """From (language, word, count) and (size, language, n-gram, count), which is counted here if it is not given."""
+    if gram_counts is None:
+        found: Counter = Counter()
+        for lang, word, n in counts:
+            for size in range(1, LONGEST + 1):
+                for gram in grams(word, size):
+                    found[size, lang, gram] += n
+        gram_counts = [(*key, n) for key, n in found.items()]
     languages = sorted({lang for lang, _, _ in counts})
     place = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, int] = {}
-    for _, word, _ in counts:
-        words.setdefault(word, len(words))
-    at, of = (np.array(x, np.int64) for x in ([words[w] for _, w, _ in counts], [place[lang] for lang, _, _ in counts]))
-    n = np.array([c for _, _, c in counts], np.float64)
     table = Table(len(languages))
-    table.add_level(at, of, n, len(words))
-    first = np.searchsorted(at[(order := np.argsort(at, kind="stable"))], np.arange(len(words) + 1))
-    known: dict[str, int] = {}
+
+    def level(rows: list[tuple[str, str, int]]) -> dict[str, int]:
+        known: dict[str, int] = {}
+        at = np.fromiter((known.setdefault(key, len(known)) for _, key, _ in rows), np.int64, len(rows))
+        of = np.fromiter((place[lang] for lang, _, _ in rows), np.int64, len(rows))
+        table.add_level(at, of, np.fromiter((n for _, _, n in rows), np.float64, len(rows)), len(known))
+        return known
+
+    words = level(counts)
+    first, numbers = len(words), {}
     for size in range(1, LONGEST + 1):
-        before, gram_of, word_of = len(known), array("q"), array("q")
-        for word, row in words.items():
-            for gram in grams(word, size):
-                gram_of.append(known.setdefault(gram, len(known)) - before)
-                word_of.append(row)
-        held = np.frombuffer(word_of, np.int64) if word_of else np.empty(0, np.int64)
-        sizes = first[held + 1] - first[held]
-        ends = np.cumsum(sizes)
-        entries = order[np.repeat(first[held] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        pairs, where = np.unique(np.repeat(np.frombuffer(gram_of, np.int64) if gram_of else held, sizes) * len(languages) + of[entries], return_inverse=True)
-        if len(pairs):
-            table.add_level(pairs // len(languages), pairs % len(languages), np.bincount(where, n[entries]), len(known) - before)
-    return Model(languages, words, {gram: i + len(words) for gram, i in known.items()}, table)
+        known = level([(lang, gram, n) for s, lang, gram, n in gram_counts if s == size])
+        numbers |= {gram: first + i for gram, i in known.items()}
+        first += len(known)
+    return Model(languages, words, numbers, table)
 
 
 class Scorer:
@@ -199,11 +198,28 @@ def training_counts(df: DataFrame, allowed: Column, id_col: str = "doc_id", text
     return found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """(size, lang, gram, n): the n-grams of counted words."""
+
+    def of_size(size: int) -> Column:
+        framed = F.concat(F.lit(" "), "word", F.lit(" ")) if size > 1 else F.col("word")
+        last = F.length(framed) - (size - 1)
+        cut = lambda i: F.struct(F.lit(size).alias("size"), F.substring(framed, i, F.lit(size)).alias("gram"))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), cut))
+
+    parts = [of_size(size) for size in range(1, LONGEST + 1)]
+    every = F.concat(*[F.coalesce(p, F.array().cast("array<struct<size:int,gram:string>>")) for p in parts])
+    found = counts.select("lang", "n", F.explode(every).alias("g"))
+    return found.groupBy("g.size", "lang", "g.gram").agg(F.sum("n").alias("n"))
+
+
 def train(df: DataFrame, allowed: Column | None = None, **options) -> Model:
     """Fits on the rows of `df` that `allowed` admits; the model, of bounded size, comes to the driver."""
-    counts = training_counts(df, F.lit(True) if allowed is None else allowed, **options)
-    table = counts.toArrow()
-    return build_model([*zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True)])
+    counts = written(training_counts(df, F.lit(True) if allowed is None else allowed, **options), "words")
+    rows = lambda found, *names: [*zip(*(found[c].to_pylist() for c in names), strict=True)]
+    model = build_model(rows(counts.toArrow(), "lang", "word", "n"), rows(gram_counts(counts).toArrow(), "size", "lang", "gram", "n"))
+    drop(counts)
+    return model
 
 
 def identify(
