@@ -292,3 +292,11 @@ def test_all_words_of_the_sample_are_kept(spark):
     df = spark.createDataFrame([(1, " ".join(words), "xx"), (2, "other words", "yy")], "doc_id long, text string, lang string")
     model = langid.train(df)
     assert len(model.words) == 40_002 and len(model.table.logs) < 40_002 + 2 * len(model.grams)
+
+
+def test_ngrams_counted_by_spark_are_those_counted_here(spark, documents):
+    learnt = documents.limit(50)
+    counts = langid.training_counts(learnt, F.lit(True))
+    here, there = langid.build_model([tuple(r) for r in counts.collect()]), langid.train(learnt)
+    assert here.words.keys() == there.words.keys() and here.grams.keys() == there.grams.keys()
+    assert all(np.array_equal(here.table[i], there.table[there.grams[g]]) for g, i in here.grams.items())
