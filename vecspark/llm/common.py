@@ -136,6 +136,11 @@ def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return written(numbered, "numbered"), names
 
 
+def joined_by_name(rows: DataFrame, found: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """`rows` and what was found for them, by the names of keyed(). `found` grows with the rows, so that it is never broadcast."""
+    return rows.join(found.hint("merge"), names, how)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

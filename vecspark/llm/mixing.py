@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecspark.llm.common import WORDS, fraction, fresh, keyed, running_sum, written
+from vecspark.llm.common import WORDS, fraction, fresh, joined_by_name, keyed, running_sum, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -101,7 +101,7 @@ def systematic_mix(df: DataFrame, **options) -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row, in place of columns of these names. Options: those of `decisions`."""
     rows, names = keyed(df)
     decided = decisions(rows, **options, carry=names).select(*names, *ADDED)
-    return rows.drop(*ADDED).join(decided, names).drop(*names)
+    return joined_by_name(rows.drop(*ADDED), decided, names).drop(*names)
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
@@ -109,6 +109,6 @@ def mixed_rows(df: DataFrame, **options) -> DataFrame:
     rows, names = keyed(df)
     (copies,) = fresh(rows, "_copies")
     decided = decisions(rows, **options, carry=names).where("copies > 0").select(*names, F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copies))
-    taken = rows.join(written(decided, "mix"), names)
+    taken = joined_by_name(rows, written(decided, "mix"), names)
     (number,) = fresh(taken, "_number")
     return taken.select(*df.columns, F.explode(copies).alias(number)).drop(number)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm.arrow import add_columns, forget, texts
-from vecspark.llm.common import keyed, written
+from vecspark.llm.common import joined_by_name, keyed, written
 from vecspark.llm.components import components
 
 #: Fixed values of the fingerprint.
@@ -253,4 +253,4 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", radiu
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "file", "row"))
     firsts = narrow.join(groups, "fp").groupBy("root").agg(first.alias("first"))
     kept = written(firsts.select(F.col("first.file").alias(names[0]), F.col("first.row").alias(names[1])), "kept")
-    return rows.join(kept, names, "left_semi").select(*df.columns)
+    return joined_by_name(rows, kept, names, "left_semi").select(*df.columns)
