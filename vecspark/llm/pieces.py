@@ -21,7 +21,7 @@ TAIL = frozenset(".,;:!?)")
 #: Texts with these are neither case-folded beforehand (a special token, two letters whose lower case depends on more than themselves) ...
 UNFOLDED = ("<|", "Σ", "İ")
 #: ... nor, with these, split by str.split, which takes them for blanks.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _PIECES = re.compile(f"[^{WHITE}]+")
 
 
@@ -123,17 +123,21 @@ class PieceTable:
         elif not any(x in text for x in UNFOLDED) and unicodedata.is_normalized("NFC", text):
             folded = text.lower()
             text = folded if unicodedata.is_normalized("NFC", folded) else text
-        return _PIECES.findall(text) if _CONTROLS.search(text) else text.split()
+        for control in _CONTROLS:  # four scans for one byte are faster than one for a class
+            if control in text:
+                return _PIECES.findall(text)
+        return text.split()
 
     def _learn(self, first: int) -> None:
         """Takes in the pieces numbered from `first` on."""
         new, self.index.new = self.index.new, []
         core = self.cores.__getitem__
-        pairs = [(core(p[:-1]), core(p[-1])) if p[-1] in TAIL and ends_alone(p[:-1]) else (core(p), -1) for p in new]
+        tails = [p[-1] if p[-1] in TAIL and ends_alone(p[:-1]) else "" for p in new]
         end = first + len(new)
         while end > len(self.parts):
             self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
-        self.parts[first:end] = pairs
+        self.parts[first:end, 0] = np.fromiter((core(p[:-1] if t else p) for p, t in zip(new, tails, strict=True)), np.int32, len(new))
+        self.parts[first:end, 1] = np.fromiter((core(t) if t else -1 for t in tails), np.int32, len(new))
         if self.cores.new:
             unknown, self.cores.new = self.cores.new, []
             self.lists.add(self.encode_new(unknown))
