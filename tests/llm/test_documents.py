@@ -53,6 +53,35 @@ def test_quality_runs_no_python(documents):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_repeats_of_any_window_width(spark):
+    rng = np.random.default_rng(3)
+    lists = [[f"w{x}" for x in rng.integers(0, 3, n)] for n in (0, 1, 4, 8, 9, 40, 200)] + [[f"w{x % 50}" for x in range(70)], [f"w{x}" for x in range(90)]]
+    df = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    for width in (1, 2, 3, 5, 8, 11):
+        for words, got in df.select("words", quality.repeated_words(F.col("words"), width)).collect():
+            windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+            places = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in range(i, i + width)}
+            assert got == len(places)
+
+
+def test_quality_puts_no_windows_together(spark, tmp_path):
+    """What the tasks allocate decides how far an executor's memory grows: 329 bytes a letter with each window put together, 123 without."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 24, 2000)), "a") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    rules = quality.base_rules(spark.read.parquet(str(tmp_path / "texts")))
+    threads = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+
+    def allocated():
+        return {i: threads.getThreadAllocatedBytes(i) for i in threads.getAllThreadIds()}
+
+    rules.write.format("noop").mode("overwrite").save()
+    before = allocated()
+    rules.write.format("noop").mode("overwrite").save()
+    more = sum(max(0, n - before.get(i, 0)) for i, n in allocated().items())
+    assert more < 200 * sum(len(t) for _, t, _ in rows)
+
+
 MIX = ["doc_id", "size", "source_size", "target", "taken"]
 
 

@@ -41,6 +41,24 @@ def _covered(starts: Column, width: int) -> Column:
     return F.aggregate(starts, zero, step, lambda acc: acc["total"])
 
 
+def _with_later(hashes: Column, step: int) -> Column:
+    """Hashes of each number and the one `step` places later; at the end, where there is none, of the number alone."""
+    return _let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))))
+
+
+def _window_hashes(words: Column, width: int) -> Column:
+    """A hash of every window of `width` words, from hashes of windows half as wide.
+
+    Two windows of half the width, or more, cover a window. Hashes are numbers,
+    so that no window is put together.
+    """
+    span, found = 1, F.transform(words, lambda w: F.xxhash64(w))
+    while span < width:
+        step = min(span, width - span)
+        span, found = span + step, _with_later(found, step)
+    return F.slice(found, 1, F.size(words) - F.lit(width - 1))
+
+
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words under windows of `width` words that occur twice or more, the first one included.
 
@@ -48,8 +66,6 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     neighbours: n log n even for very long texts. Without any repeat the
     sort is skipped.
     """
-    n = F.size(words) - F.lit(width - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, width)))
 
     def repeats(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -64,19 +80,20 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(_let(placed, flagged))
 
-    return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(_let(hashes, repeats))
+    return F.when(F.size(words) <= width, F.lit(0).cast("bigint")).otherwise(_let(_window_hashes(words, width), repeats))
 
 
 def base_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Per document: id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.translate(line, BLANK_CHARS, "")) > 0)
-    of_words = lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_words(w).alias("repeat"))
+    lines = F.filter(F.split(body, "\n"), lambda line: F.ltrim(line, F.lit(BLANK_CHARS)) != "")
+    of_words = lambda w: F.struct(
+        F.size(w).cast("bigint").alias("n"), F.length(F.array_join(w, "")).cast("bigint").alias("chars"), repeated_words(w).alias("repeat")
+    )
     counted = df.select(
         F.col(id_col),
         F.col(host).alias("_host"),
-        F.length(F.translate(body, BLANK_CHARS, "")).cast("bigint").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _let(F.array_remove(F.split(body, BLANKS), ""), of_words).alias("_w"),
     )
@@ -84,7 +101,7 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", host:
         id_col,
         "_host",
         F.col("_w.n").alias("n_words"),
-        "word_chars",
+        F.col("_w.chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.col("_w.repeat").alias("n_repeat_words"),
