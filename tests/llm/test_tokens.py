@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +76,36 @@ def test_a_small_memory_changes_nothing(library, encoders):
         assert table.encode([text])[0].tolist() == ids_of(library, text)
 
 
+def test_words_are_looked_up_once_a_slice(library, encoders, monkeypatch):
+    """Over 300 CPU seconds a GB went into looking up each word of each text, most of which are the same few."""
+
+    class Counted(pieces._Index):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(pieces, "_Index", Counted)
+    encoder = token_files.LibraryEncoder(open(PATH, "rb").read(), True)
+    items = ["  The cat, the Dog. the cat? " * 400, "", " \n", "Élan (élan) the cat.\u2003été,\x85.\tdog\x1c." * 50, "<|endoftext|> The cat <|x" * 20, "\x1cthe\x1d cat", "!"]
+    assert [ids_of(library, x) for x in items] == [ids.tolist() for ids in np.split(*(lambda ids, offsets: (ids, offsets[1:-1]))(*encoder.encode(items)))]
+    assert Counted.asked < 100
+    no_words = encoder.encode(["", " ", "\t"])
+    assert len(no_words[0]) == 0 and no_words[1].tolist() == [0, 0, 0, 0]
+
+
+def test_a_small_memory_of_cores_changes_nothing(library, encoders):
+    for keep_half in (False, True):
+        table = pieces.PieceTable(encoders[1].library, cores=7, keep_half=keep_half)
+        for text in ["some words, some more.", "other words; some (again)", "T̈ ẗ x"] * 3:
+            assert table.encode_column(pa.array([None, text, ""]).slice(1))[0].tolist() == ids_of(library, text)
+
+
+def test_texts_are_not_handed_back(odd):
+    assert token_files.encode(odd.select("doc_id", "text"), PATH, keep=["doc_id"]).columns == ["doc_id", "ids"]
+
+
 def test_long_and_short_merges_agree(encoders):
     vocabulary = encoders[0]
     rng = np.random.default_rng(1)

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import chain, compress, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -23,6 +25,7 @@ UNFOLDED = ("<|", "Σ", "İ")
 #: ... nor, with these, split by str.split, which takes them for blanks.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _PIECES = re.compile(f"[^{WHITE}]+")
+_TAIL_BYTES, _ALNUM_BYTES = (np.array([i < 128 and is_in(chr(i)) for i in range(256)]) for is_in in (TAIL.__contains__, str.isalnum))
 
 
 def ends_alone(core: str) -> bool:
@@ -33,6 +36,13 @@ def ends_alone(core: str) -> bool:
     return core.isalnum() and (core.isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalnum())
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """The strings of a column, none of which is null or has a blank: one long string is handed over and cut."""
+    if not len(column):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
 class _Index(dict):
     """Numbers its keys from 0 and lists the new ones."""
 
@@ -138,10 +148,21 @@ class PieceTable:
             self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
         self.parts[first:end, 0] = np.fromiter((core(p[:-1] if t else p) for p, t in zip(new, tails, strict=True)), np.int32, len(new))
         self.parts[first:end, 1] = np.fromiter((core(t) if t else -1 for t in tails), np.int32, len(new))
+        self._learn_cores()
+
+    def _learn_cores(self) -> None:
         if self.cores.new:
             unknown, self.cores.new = self.cores.new, []
             self.lists.add(self.encode_new(unknown))
 
+    def _joined(self, pairs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces given as core and tail, and the offsets among them of the texts, whose pieces stand between `bounds`."""
+        cores = pairs.ravel()[(pairs >= 0).ravel()]
+        ids, lengths = self.lists.gather(cores)
+        per_core = np.concatenate([[0], np.cumsum(lengths)])
+        cores_before = np.concatenate([[0], np.cumsum(1 + (pairs[:, 1] >= 0))])
+        return ids, per_core[cores_before[bounds]]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the offsets of each text's."""
         self._make_room()
@@ -151,9 +172,54 @@ class PieceTable:
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if self.index.new:
             self._learn(known)
-        pairs = self.parts[numbers]
-        cores = pairs.ravel()[(pairs >= 0).ravel()]
-        ids, lengths = self.lists.gather(cores)
-        per_core = np.concatenate([[0], np.cumsum(lengths)])
-        cores_before = np.concatenate([[0], np.cumsum(1 + (pairs[:, 1] >= 0))])
-        return ids, per_core[cores_before[np.concatenate([[0], np.cumsum(sizes)])]]
+        return self._joined(self.parts[numbers], np.concatenate([[0], np.cumsum(sizes)]))
+
+    def cut_column(self, column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of the texts of a string column one after the other, and the bounds of each text's; null as the empty text.
+
+        ASCII texts are folded and cut by Arrow; others are cut by cut(), and their pieces joined by single blanks first.
+        """
+        column = column.fill_null("")
+        lines = pc.ascii_lower(column)
+        other = pc.invert(pc.and_not(pc.string_is_ascii(column), pc.match_substring(column, "<|")))
+        rest = column.filter(other)
+        if len(rest):
+            lines = pc.replace_with_mask(lines, other, pa.array([" ".join(self.cut(x)) for x in rest.to_pylist()], lines.type))
+        lines = pc.ascii_trim_whitespace(lines)  # else there are empty pieces at its ends
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(lines, ""), pa.scalar(None, lines.type), lines))
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+        return lists.flatten().dictionary_encode(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+    def _pairs(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of each piece's core and tail (-1: none), without a memory of the pieces."""
+        width = np.int64 if pa.types.is_large_string(pieces.type) else np.int32
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, width)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.frombuffer(data, np.uint8)
+        starts, ends = offsets[:-1], offsets[1:] - 1
+        last = data[ends]
+        tailed = _TAIL_BYTES[last] & (starts < ends)
+        before = np.concatenate([[0], np.cumsum(~_ALNUM_BYTES[data])])
+        plain = before[ends] == before[starts]
+        before = np.concatenate([[0], np.cumsum(data >= 128)])
+        unsure = np.flatnonzero(tailed & ~plain & (before[ends] > before[starts]))
+        tailed &= plain
+        tailed[unsure] = [ends_alone(p[:-1]) for p in _strings(pieces.take(pa.array(unsure)))]
+        cores = pc.if_else(pa.array(tailed), pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        distinct = _strings(cores.dictionary)
+        pairs = np.full((len(pieces), 2), -1, np.int32)
+        pairs[:, 0] = np.fromiter(map(self.cores.__getitem__, distinct), np.int32, len(distinct))[cores.indices.to_numpy()]
+        tails = np.full(256, -1, np.int32)
+        for x in np.unique(last[tailed]).tolist():
+            tails[x] = self.cores[chr(x)]
+        pairs[tailed, 1] = tails[last[tailed]]
+        self._learn_cores()
+        return pairs
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), of a string column: each of its distinct cores is looked up once."""
+        self._make_room()
+        pieces, bounds = self.cut_column(column)
+        if not len(pieces):
+            return np.empty(0, np.int32), bounds
+        return self._joined(self._pairs(pieces.dictionary)[pieces.indices.to_numpy()], bounds)

@@ -6,10 +6,10 @@ of their part number, hold the ids in ascending order. ORC stores integer
 arrays run-length encoded in stripes; readers take stripes in parallel and
 skip those whose row index or Bloom filter excludes a document id.
 
-The library is called for distinct pieces only: for a tokenizer that folds
+The library is called for distinct words only: for a tokenizer that folds
 case and whose pre-tokenizer cuts at white space and around words
-(`by_piece=True`), each worker remembers pieces up to a bound (see
-pieces.py). With `by_piece=False` whole texts are encoded.
+(`by_piece=True`), Arrow cuts a slice of texts and finds its distinct words,
+and each worker remembers words up to a bound (see pieces.py). With `by_piece=False` whole texts are encoded.
 
 Defined results: a null or blank text has the end id alone; a null document
 id sorts first; rows with the same id stand together in order of their text's
@@ -44,6 +44,10 @@ BLOOM_FPP = 0.01
 #: Words that the library encodes as one text.
 JOINED = 256
 
+#: Words that a worker remembers, and rows whose words it looks up together.
+REMEMBERED = 700_000
+ROWS = 512
+
 
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, special tokens not added."""
@@ -55,7 +59,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = PieceTable(self.library) if by_piece else None
+        self.table = PieceTable(self.library, cores=REMEMBERED, keep_half=True) if by_piece else None
 
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -82,16 +86,17 @@ class LibraryEncoder:
         found.update(zip(rest, self._each(rest), strict=True))
         return [*map(found.__getitem__, items)]
 
-    def encode(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the offsets of each text's."""
+    def encode(self, items: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the offsets of each text's; null as the empty text."""
+        column = items if isinstance(items, pa.Array) else pa.array(items, pa.string())
         if self.table:
-            return self.table.encode(items)
-        found = self._each(items)
+            return self.table.encode_column(column)
+        found = self._each(texts(column))
         return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_id: int | None = END_ID, by_piece: bool = True) -> DataFrame:
-    """Adds `ids`, the text's ids and the end id."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_id: int | None = END_ID, by_piece: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Adds `ids`, the text's ids and the end id, to `df` or its columns `keep`."""
     content = Path(path).read_bytes()
     digest = hashlib.sha256(content).hexdigest()
     shipped = df.sparkSession.sparkContext.broadcast(content)
@@ -101,7 +106,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_i
         encoder = kept_once(("library", digest, by_piece), lambda: LibraryEncoder(shipped.value, by_piece))
 
         def added(part: pa.RecordBatch) -> list[pa.Array]:
-            found, offsets = encoder.encode(texts(part.column(place)))
+            found, offsets = encoder.encode(part.column(place))
             if end_id is not None:
                 found = np.insert(found, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
@@ -109,7 +114,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end_i
 
         return added
 
-    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, keep, ROWS)
 
 
 def write_orc(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int | None = END_ID, by_piece: bool = True) -> str:
@@ -121,7 +126,7 @@ def write_orc(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
     dealt = df.select(id_col, text).repartitionByRange(*order).sortWithinPartitions(*order)
     # The upper bits of the increasing id are the part.
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    encoded = encode(dealt, path, text, "ids", end_id, by_piece).select(id_col, F.spark_partition_id().alias("part"), row.alias("row"), "ids")
+    encoded = encode(dealt, path, text, "ids", end_id, by_piece, [id_col]).select(id_col, F.spark_partition_id().alias("part"), row.alias("row"), "ids")
     (
         encoded.write.format("orc")
         .option("orc.compress", "ZSTD")
