@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vecspark.llm import bpe, pieces, token_files, trie_counts
+from vecspark.llm import bpe, pieces, queries, token_files, trie_counts
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -124,6 +124,20 @@ def test_round_trip_of_odd_rows(library, odd, odd_rows, empty):
     assert bpe.encode(empty, PATH).count() == 0
 
 
+def test_one_pass_there_and_back(odd, empty):
+    """Two passes in a task left each executor with four workers for two cores, to the end of the pipeline."""
+    twice = bpe.decode(bpe.encode(odd, PATH), PATH)
+    once = bpe.round_trip(odd, PATH)
+    assert sorted(once.columns) == sorted(twice.columns)
+    assert sorted(map(tuple, once.select(*twice.columns).collect()), key=repr) == sorted(map(tuple, twice.collect()), key=repr)
+    assert bpe.round_trip(empty, PATH).count() == 0
+    assert passes(twice) == 2 and passes(queries.bpe_digests(odd)) == 1
+
+
+def passes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
 def layout_of(library, rows):
     start, want = 0, []
     for i, text in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0)):

@@ -153,6 +153,14 @@ def loaded(digest: str, content: Broadcast) -> Vocabulary:
     return kept_once(("bpe", digest), lambda: Vocabulary(content.value))
 
 
+def _encoded(vocabulary: Vocabulary, column: pa.Array) -> pa.ListArray:
+    return id_lists(*vocabulary.encode(texts(column)))
+
+
+def _decoded(vocabulary: Vocabulary, column: pa.ListArray) -> pa.Array:
+    return pa.array([vocabulary.decode(x.tolist()) for x in id_slices(column)], pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `ids`, an array of int, to every row of `df` or its columns `keep`."""
     digest, content = ship(df.sparkSession, path)
@@ -160,7 +168,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
 
     def make():
         vocabulary = loaded(digest, content)
-        return lambda part: [id_lists(*vocabulary.encode(texts(part.column(place))))]
+        return lambda part: [_encoded(vocabulary, part.column(place))]
 
     return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, keep)
 
@@ -172,6 +180,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
 
     def make():
         vocabulary = loaded(digest, content)
-        return lambda part: [pa.array([vocabulary.decode(x.tolist()) for x in id_slices(part.column(place))], pa.string())]
+        return lambda part: [_decoded(vocabulary, part.column(place))]
 
     return add_columns(df, [T.StructField(text, T.StringType())], make, keep)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode and decode in one pass: two passes in a task need two workers at once, each with a vocabulary, which the executor keeps."""
+    digest, content = ship(df.sparkSession, path)
+    place = df.columns.index(text)
+
+    def make():
+        vocabulary = loaded(digest, content)
+
+        def added(part: pa.RecordBatch) -> list[pa.Array]:
+            found = _encoded(vocabulary, part.column(place))
+            return [found, _decoded(vocabulary, found)]
+
+        return added
+
+    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], make, keep)

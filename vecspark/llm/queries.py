@@ -39,8 +39,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), word_bpe(), keep=["doc_id"])
-    return bpe.decode(encoded, word_bpe()).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), word_bpe(), keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
