@@ -45,7 +45,7 @@ def quality_report(df: DataFrame, dimension: int, k: int = 10, seed: int = 42, q
     rows = df.select(id_col, vector)
     is_query = F.col(id_col) % query_stride == 0
     queries, n = rows.where(is_query), rows.count()
-    true = top_k_many(rows, queries, k, id_col, vector, exclude_self=True).persist()
+    true = top_k_many(rows, queries, k, id_col, vector, exclude_self=True, n_rows=n).persist()
     reports: list[DataFrame] = []
     methods: list[tuple[str, int | None, bool | None, float, DataFrame]] = [
         (b.method, None, None, b.bytes_per_vector, rows.withColumn("vector", b.restore)) for b in baselines(dimension, vector)
@@ -57,7 +57,7 @@ def quality_report(df: DataFrame, dimension: int, k: int = 10, seed: int = 42, q
             size = float(metrics.payload_bytes(dimension, bits, residual))
             methods.append((f"codec{bits}{'r' if residual else ''}", bits, residual, size, round_trip(rows, codec, vector)))
     for method, bits, residual, size, restored in methods:
-        found = top_k_many(restored.select(id_col, F.col("vector").alias(vector)), queries, k, id_col, vector, exclude_self=True)
+        found = top_k_many(restored.select(id_col, F.col("vector").alias(vector)), queries, k, id_col, vector, exclude_self=True, n_rows=n)
         rho = metrics.query_correlation(restored, is_query, n, dimension, id_col, vector)
         reports.append(
             metrics.mean_squared_error(restored, vector).select(
