@@ -68,3 +68,28 @@ def test_pairs_are_spread_over_tasks():
         assert rows * queries >= 15 and n / rows * 64 * 8 <= search.SHARD_BYTES
         assert (n / rows) * (asked / queries) <= search.TASK_PAIRS[1]
     assert search._grid(100, 100, 64) == (1, 1)
+
+
+def test_rotation_in_batches_equals_the_expression_bit_for_bit(spark):
+    from pyspark.sql import functions as F
+
+    from vecspark.functions import exprs
+    from vecspark.operators.codec import turned
+    from vecspark.operators.rotation import rotation
+
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 16)).astype(np.float32))]
+    rows += [(300, None), (301, [1.0] * 15), (302, [1.0] * 15 + [None]), (303, [float("nan")] + [1.0] * 15), (304, [3e38] * 16), (305, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for m in (rotation(3, 16), rotation(3, 16).T):
+        want = df.withColumn("want", exprs.rotate(F.col("embedding"), exprs.matrix_literal(m)))
+        both = turned(want, m, out="got").select("vec_id", "want", "got").collect()
+        assert len(both) == 306 and all(repr(r["want"]) == repr(r["got"]) for r in both)
+
+
+def test_rotation_queries_run_in_batches(spark, sf_dir):
+    from vecspark.plans import catalog
+
+    for name, passes in (("rotate", 1), ("rotate_inverse_roundtrip", 2), ("quantize_bw4", 1)):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == passes, name
