@@ -93,3 +93,27 @@ def test_rotation_queries_run_in_batches(spark, sf_dir):
     for name, passes in (("rotate", 1), ("rotate_inverse_roundtrip", 2), ("quantize_bw4", 1)):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == passes, name
+
+
+def test_pairs_of_parts_equal_the_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vecspark.functions import exprs
+    from vecspark.operators import metrics
+
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(rng.standard_normal((90, 2, 8)).astype(np.float32))]
+    rows += [(90, None, [0.0] * 8), (92, [0.0] * 8, [float("nan")] * 8), (94, [1.0] * 7 + [None], [3e38] * 8), (94, [2.0] * 8, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector array<float>")
+    half = df.where("vec_id % 2 = 0")
+    left, right = (half.select(*[F.col(c).alias(p + c) for c in half.columns]) for p in "ab")
+    want = left.join(right, F.col("avec_id") < F.col("bvec_id")).select(
+        "avec_id", "bvec_id", exprs.cosine(F.col("aembedding"), F.col("bembedding")), exprs.cosine(F.col("avector"), F.col("bvector"))
+    )
+    monkeypatch.setattr(metrics, "TASK_PAIRS", (150, 1 << 20))
+    monkeypatch.setattr(metrics, "BLOCK", 3)
+    got = metrics.pair_scores(df, stride=2)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert metrics.pair_scores(df.where("false")).count() == 0
